@@ -1,0 +1,48 @@
+"""Connected components of a distributed link table, by alternating large-star and small-star steps.
+
+Each step is a minimum by node and a join that links anew: no task ever holds a component or a list of neighbours; a node
+with very many of them streams through a sorted join. Steps are written to the shared folder, the step before
+last is deleted, and the loop ends when a step changes nothing, after about log2 of the largest component.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import materialize, release
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """large: link each node's larger neighbours to the least of it and its neighbours; small: the same for smaller ones."""
+    if large:
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("_m", "u").alias("m"))
+    joined = both.join(least, "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
+def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
+    """(node, component): every node of a link between two different nodes, with the smallest node it reaches."""
+    spark = links.sparkSession
+    edges, path = materialize(links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v").distinct(), "links")
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    seen = mark(edges)
+    while seen[0]:
+        step, step_path = materialize(_star(_star(edges, True), False), "links")
+        release(spark, path)
+        edges, path, now = step, step_path, mark(step)
+        if now == seen:
+            break
+        seen = now
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
