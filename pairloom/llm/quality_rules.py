@@ -218,9 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """
     marks = labels.select("doc_id", F.col(label).alias("_label")).where(F.col("doc_id").isNotNull() & F.col("_label").isin(0, 1))
     chosen = marks.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    stats = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).where(~base_failed())
+    stats = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     names = list(FEATURES)
-    got = stats.select("doc_id", "_label", *[feature(f).alias(f) for f in names]).collect()
+    got = stats.select("doc_id", "_label", base_failed().alias("_failed"), *[feature(f).alias(f) for f in names]).collect()
+    got = [r for r in got if not r["_failed"]]
     got.sort(key=lambda r: (hash((r["doc_id"], 7)), *[r[f] for f in names]))
     x = np.array([[r[f] for f in names] for r in got], float).reshape(len(got), len(names))
     return learn(x, np.array([r["_label"] == 0 for r in got], bool), names)
@@ -229,3 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 def apply(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """docs with statistics, base_failed and kept."""
     return with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.column())
+
+
+def kept_only(judged: DataFrame) -> DataFrame:
+    """Rows that are kept. The row mark holds the optimizer back from copying the statistics into the filter."""
+    return judged.withColumn("_mark", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_mark") >= 0)).drop("_mark")

@@ -116,7 +116,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], fallback: list[Rule] = (), u
     where = F.concat(F.col("host"), F.col("path"))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(where), F.lit(TOKEN), F.lit(0)))
     fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.element_at(table, (F.crc32(t.cast("binary")) % len(buckets) + 1).cast("int")), lambda r: r["token"] == t)))
-    fits = F.filter(F.concat(fetched, always), lambda r: where.rlike(r["regex"]))
+    fits = F.filter(F.concat(fetched, always), lambda r: F.rlike(where, r["regex"]))
     best = F.array_max(fits)
     return (
         out.withColumn("_best", best)
