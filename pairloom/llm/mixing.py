@@ -218,3 +218,35 @@ def mix(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 7, weig
     some = joined.groupBy(*own).agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
     none = _with_source(keys.where("size = 0"), plan, {"source_size": plan.sizes, "target": plan.targets}, F.col("source")).select(*own, F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none).drop("row_id")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows like those of docs: a document comes whole for each full pass over its source, and once more with
+    the words of those of its blocks that the last, partial pass takes, in order and with their white space.
+
+    `text` and, if there is one, `n_chars` are the row's own; all other columns are the document's.
+    """
+    keys, _ = materialize(sized(docs), "mix-keys")
+    plan = plan_mix(keys, **options)
+    if not plan.names:
+        return docs
+    full = [s // b if b else 0 for s, b in zip(plan.slots, plan.blocks, strict=True)]
+    same = ["doc_id", "deal", "size"]
+    # equal rows are told apart by their count
+    occurrence = F.row_number().over(W.partitionBy(*same).orderBy("row_id"))
+    placed = place(keys.where("size > 0").withColumn("_nth", occurrence), plan)
+    last = slots(docs.sparkSession, plan).join(F.broadcast(_inline(docs.sparkSession, list(enumerate(full)), "source_no long, pass long")), ["source_no", "pass"]).select("source_no", "block_no")
+    parts = pieces(placed, plan).join(last, ["source_no", "block_no"]).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
+    rows = placed.select("row_id", "_nth", "source_no", *same).join(parts, "row_id", "left")
+    rows = rows.join(F.broadcast(_inline(docs.sparkSession, list(enumerate(full)), "source_no long, _full long")), "source_no").where("_full > 0 or _parts is not null")
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("deal").alias("_deal"), F.col("size").alias("_size"), "_nth", "_full", "_parts")
+
+    texts = docs.withColumn("_deal_of", F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).withColumn("_size_of", n_words(F.col("text")))
+    texts = texts.where("_size_of > 0").withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "_deal_of", "_size_of").orderBy(F.lit(1))))
+    met = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_deal_of") == F.col("_deal")) & (F.col("_size_of") == F.col("_size")) & (F.col("_row") == F.col("_nth")))
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    cut = F.when(F.col("_parts").isNotNull(), F.array(F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["from_word"].cast("int") + 1, p["words"].cast("int")))), "")))
+    whole = F.array_repeat(F.col("text"), F.col("_full").cast("int"))
+    out = met.withColumn("_text", F.explode(F.concat(whole, F.coalesce(cut, F.array().cast("array<string>")))))
+    made = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
