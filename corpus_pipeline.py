@@ -1,15 +1,49 @@
-"""A corpus pipeline: stages over the documents table, in order."""
+"""A corpus pipeline: stages over the documents table, in order; each one's rows are the next one's documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pairloom.llm import byte_bpe, mixing, near_dedup, quality_classifier, quality_rules
+from pairloom.llm.store import materialize
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: what importance resampling leaves out goes."""
+    _, sample = quality_classifier.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return sample
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: what base rules or the learned decision list reject goes."""
+    learned = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.kept_only(quality_rules.apply(docs, learned)).select(*docs.columns)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: one document of each near-duplicate component stays."""
+    return near_dedup.deduplicated(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: sources come in proportion to their weights."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: token counts and digests of the ids, and of the bytes they decode to, for each row of the mix."""
+    return byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"))
+
+
+STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("near_dedup", dedup), ("mixing", mix), ("byte_bpe", encode)]
+
+#: SQL can't express n-gram models, the learned list or the permutations; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,14 +4,15 @@ A document's set is its distinct 5-word shingles. Documents with equal sets form
 values. A tree of the join sends each class, at the root, to one or two nodes chosen by a minwise value; a node that
 holds more than LIMIT classes and more than one component branches again on further values, chosen by the node's own
 path; a node with few classes is compared exhaustively inside one task. TREES independent roots repeat this, so that a
-pair at the threshold shares no root node with a chance below 1e-6. A node that stays large below all branchings holds
+pair at the threshold shares no root node with a chance below 2e-5. A node that stays large below all branchings holds
 classes that agree in LEVELS values and more: it is compared exhaustively too, as tiles of LIMIT by LIMIT classes.
 
-Comparing means minwise values first: a pair is a candidate if its sizes allow the threshold (exact) and at least
-ESTIMATE of its K values agree (a pair at 0.75 fails that with a chance below 1e-6). Candidates are confirmed on full
-sets. In a first round each node gives a spanning forest of its candidates, the most similar pairs first; after their
-confirmation only pairs between different components are compared at all, which loses no link between components and
-never expands a group of copies into its pairs.
+Comparing means a sketch first: one permutation's least hash in each of BINS bins, whose agreement over the bins that
+either set fills estimates the similarity. A pair is a candidate if its sizes allow the threshold (exact) and the estimate
+is no further below it than DEVIATIONS standard deviations (a chance below 1e-5 for a pair at the threshold). Candidates
+meet a wider sketch of the same kind, by the same rule, and are then confirmed on full sets. Two rounds take from each node a spanning forest of its candidates, the most similar pairs
+first, at most one pair for each class in it; after those only candidates between different components are left, and the
+last round confirms all of them. That loses no link between components and never expands a group of copies into pairs.
 
 Two passes over the texts: one makes the minwise values (numbers only, no text leaves its task), the other makes full
 sets for those classes alone that stand in a candidate pair. Links, components and sets stay distributed.
@@ -38,14 +39,20 @@ from .words import buffers, chunks, mix, words
 SHINGLE = 5
 #: Similarity in hundredths: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-K = 48
-TREES = 10
+K = 32
+TREES = 6
 #: Root coordinates of the trees: one or two each, 1 / 0.75 on average, none twice.
-ROOTS = tuple((2 * t, 2 * t + 1) if t % 3 == 0 else (2 * t,) for t in range(TREES))
+ROOTS = tuple((2 * t, 2 * t + 1) if t % 3 == 0 else (2 * t,) for t in range(TREES))  # 8 in all
 #: Further levels, each with values of its own to choose from.
-LEVELS = tuple(tuple(range(20 + 7 * i, 27 + 7 * i)) for i in range(4))
+LEVELS = tuple(tuple(range(2 * TREES + 5 * i, 2 * TREES + 5 * i + 5)) for i in range(4))
 LIMIT = 64
-ESTIMATE = 0.42
+#: Classes on a side of a tile.
+TILE = 256
+BINS = 128
+BATCH_ROWS = 512
+#: Bins of the wider sketch that candidates meet before full sets do.
+WIDE = 1024
+DEVIATIONS = 4.5
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -99,13 +106,26 @@ def minwise(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def binned(sets: np.ndarray, at: np.ndarray, many: int = BINS) -> np.ndarray:
+    """One byte of the least hash in each of `many` bins of each set, shape (n, many); 0 marks an empty bin."""
+    out = np.zeros((len(at) - 1, many), np.uint8)
+    bins = (sets >> np.uint64(64 - many.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(sets), bool)
+    first[1:] = bins[1:] != bins[:-1]
+    n = np.diff(at)
+    first[at[:-1][n > 0]] = True  # sets ascend, so a bin's first hash is its least
+    own = np.repeat(np.arange(len(n)), n)[first]
+    out[own, bins[first]] = (sets[first] >> np.uint64(16)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def fixed_binary(rows: np.ndarray) -> pa.Array:
     """One binary value for each row of a C-ordered matrix."""
     width = rows.shape[1] * rows.itemsize
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, mh binary"
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, mh binary, bins binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +137,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
             other = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
             f1, f2 = mix(total[to[1:]] - total[to[:-1]]).view(np.int64), mix(other[to[1:]] - other[to[:-1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), fixed_binary(minwise(sets, to))], ["doc_id", "n_shingles", "f1", "f2", "mh"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), fixed_binary(minwise(sets, to)), fixed_binary(binned(sets, to))], ["doc_id", "n_shingles", "f1", "f2", "mh", "bins"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -145,21 +165,29 @@ def child_nodes(members: DataFrame, level: int) -> DataFrame:
     return members.select(F.explode(child).alias("node"), "rep")
 
 
-MEMBERS = "array<struct<rep:long,n:long,mh:binary,c:long>>"
+MEMBERS = "array<struct<rep:long,n:long,bins:binary,c:long>>"
+
 
+def _likely(n: np.ndarray, n2: np.ndarray, bins: np.ndarray, bins2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and sketches allow the threshold, and the estimates; row by row, either side may be one row."""
+    t = THRESHOLD / 100
+    filled = ((bins > 0) | (bins2 > 0)).sum(1)
+    estimate = ((bins == bins2) & (bins > 0)).sum(1) / np.maximum(filled, 1)
+    ok = estimate >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(filled, 1))
+    return ok & (100 * np.minimum(n, n2) >= THRESHOLD * np.maximum(n, n2)), estimate
 
-def _candidates(reps: np.ndarray, n: np.ndarray, mh: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs (i < j by place) that the sizes and minwise values allow, with agreement counts. Row blocks bound memory."""
+
+def _candidates(n: np.ndarray, bins: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs i < j of different components that _likely allows, with estimates."""
     found = []
-    for i in mine:
-        js = theirs[theirs > i]
-        js = js[100 * np.minimum(n[js], n[i]) >= THRESHOLD * np.maximum(n[js], n[i])]
+    for i in range(len(n) - 1):
+        js = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i])))
         if len(js):
-            same = (mh[js] == mh[i]).sum(1)
-            ok = same >= ESTIMATE * K
-            found.append(np.column_stack([np.full(ok.sum(), i), js[ok], same[ok]]))
-    got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    return got[:, 0], got[:, 1], got[:, 2]
+            ok, estimate = _likely(n[js], n[i], bins[js], bins[i])
+            found.append((np.full(ok.sum(), i), js[ok], estimate[ok]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _compare(forest: bool):
@@ -174,22 +202,20 @@ def _compare(forest: bool):
                 comp = s.field("c").to_numpy(zero_copy_only=False)
                 if len(reps) < 2 or (comp == comp[0]).all():
                     continue
-                order = np.argsort(reps, kind="stable")
-                n = s.field("n").to_numpy(zero_copy_only=False)[order]
-                mh = np.frombuffer(b"".join(s.field("mh").to_pylist()), np.uint32).reshape(-1, K)[order]
-                reps, comp, every = reps[order], comp[order], np.arange(len(reps))
-                i, j, same = _candidates(reps, n, mh, every, every)
-                ok = (comp[i] != comp[j]) & (reps[i] != reps[j])
-                i, j, same = i[ok], j[ok], same[ok]
+                n = s.field("n").to_numpy(zero_copy_only=False)
+                bins = buffers(s.field("bins"))[0].reshape(-1, BINS)
+                i, j, estimate = _candidates(n, bins, comp)
                 if forest:
-                    up = list(range(len(reps)))
-                    picked = []
-                    for k in np.argsort(-same, kind="stable"):
-                        x, y = int(i[k]), int(j[k])
-                        while up[x] != x:
+                    up: dict[int, int] = {}
+
+                    def top(x: int) -> int:
+                        while x in up:
                             x = up[x]
-                        while up[y] != y:
-                            y = up[y]
+                        return x
+
+                    picked = []
+                    for k in np.argsort(-estimate, kind="stable"):
+                        x, y = top(int(comp[i[k]])), top(int(comp[j[k]]))
                         if x != y:
                             up[max(x, y)] = min(x, y)
                             picked.append(k)
@@ -205,19 +231,30 @@ def _compare(forest: bool):
 
 def _listed(members: DataFrame, *keys: str) -> DataFrame:
     """One row for each small node or tile: the list of its members."""
-    return members.groupBy(*keys).agg(F.collect_list(F.struct("rep", "n", "mh", "c")).cast(MEMBERS).alias("members")).where(F.size("members") > 1).select("members")
+    return members.groupBy(*keys).agg(F.collect_list(F.struct("rep", "n", "bins", "c")).cast(MEMBERS).alias("members")).where(F.size("members") > 1).select("members")
+
+
+def _star(many: int):
+    """Rows (a, b, n, n2, sketch, sketch2) to the pairs that _likely allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)]
+            bins = [buffers(batch.column(k))[0].reshape(-1, many) for k in (4, 5)]
+            ok, _ = _likely(ids[2], ids[3], *bins)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0][ok]), pa.array(ids[1][ok])], ["a", "b"])
+
+    return run
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of large nodes' members with their node's least class, where minwise values allow. Joins only, no lists."""
-    least = members.groupBy("node").agg(F.min(F.struct("rep", "n", "mh")).alias("_l"))
+    """Candidates among the pairs of large nodes' members with their node's least class. A join, no lists."""
+    least = members.groupBy("node").agg(F.min(F.struct("rep", "n", "bins")).alias("_l"))
     both = members.join(least, "node").where("rep <> _l.rep")
-    sizes = 100 * F.least("n", "_l.n") >= THRESHOLD * F.greatest("n", "_l.n")
-    same = sum((F.substring("mh", 4 * k + 1, 4) == F.substring("_l.mh", 4 * k + 1, 4)).cast("int") for k in range(K))
-    return both.where(sizes).where(same >= ESTIMATE * K).select(F.col("_l.rep").alias("a"), F.col("rep").alias("b"))
+    return both.select(F.col("_l.rep").alias("a"), F.col("rep").alias("b"), F.col("_l.n").alias("n"), F.col("n").alias("n2"), F.col("_l.bins").alias("bins"), F.col("bins").alias("bins2")).mapInArrow(_star(BINS), "a long, b long")
 
 
-SETS = "rep long, shingles binary"
+SETS = "rep long, n long, wide binary, shingles binary"
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +262,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = buffers(batch.column(1))
         for i, j, part, at in chunks(raw, offsets):
             sets, to = shingle_sets(part, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(to * 8), pa.py_buffer(sets)]).cast(pa.binary())], ["rep", "shingles"])
+            full = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(to * 8), pa.py_buffer(sets)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(to)), fixed_binary(binned(sets, to, WIDE)), full], ["rep", "n", "wide", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +283,24 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MAP_BITS = 1 << 23
 
 
+def _bitmaps(ids: DataFrame) -> tuple[Column, DataFrame]:
+    """A row's place in the map, by its rep, and the map: rows (_m, _bits), of fixed size in all."""
+    place = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS)) + 1
+    return place, ids.groupBy(F.bitmap_bucket_number(place).alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+
+
+def _bit(place: Column) -> Column:
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int"))
+
+
 def _maybe(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """texts whose rep may be among ids: all that are, and some others. A bitmap of fixed size is broadcast, so that the
     join that follows shuffles few texts."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS)) + 1
-    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    place, maps = _bitmaps(ids)
     near = texts.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_m"))
-    return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select("rep", "text")
+    return near.where(_bit(place) == 1).select("rep", "text")
 
 
 class _Join:
@@ -272,78 +319,126 @@ class _Join:
         mine = _maybe(texts, ids).join(ids, "rep", "left_semi").dropDuplicates(["rep", "text"])
         fresh, _ = materialize(mine.mapInArrow(_full_sets, SETS), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
-        x, y = self.sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), self.sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-        judged = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long, linked boolean")
-        return judged.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+        def sides(*what: str) -> list[DataFrame]:
+            return [self.sets.select(F.col("rep").alias(c), *[F.col(w).alias(w + t) for w in what]) for c, t in (("a", ""), ("b", "2"))]
+
+        x, y = sides("n", "wide")
+        near, _ = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "n2", "wide", "wide2").mapInArrow(_star(WIDE), "a long, b long").distinct(), "near")
+        x, y = sides("shingles")
+        judged = near.join(x, "a").join(y, "b").select("a", "b", "shingles", "shingles2").mapInArrow(_confirm, "a long, b long, linked boolean")
+        linked = judged.where("linked").select("a", "b").distinct().withColumn("linked", F.lit(True))
+        return pairs.join(linked, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+    def round(self, pairs: DataFrame, found: DataFrame | None, judged: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Confirm pairs that aren't judged yet; returns the new links, all components and all judged pairs."""
+        pairs = pairs.distinct()
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        fresh, _ = materialize(self.confirmed(materialize(pairs, "pairs")[0]), "judged")
+        links = fresh.where("linked").select("a", "b")
+        if found is not None:
+            known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = found if links.isEmpty() else materialize(components(known.union(links)), "components")[0]
+        else:
+            found = materialize(components(links), "components")[0]
+        return links, found, fresh if judged is None else judged.union(fresh)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of docs."""
-    spark = docs.sparkSession
+    # rows of pairs and nodes hold whole sets and lists: few of them in a batch bound a worker's memory
+    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, str(BATCH_ROWS))
+    try:
+        return _near_duplicates(docs)
+    finally:
+        conf.set(rows, before)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     made, _ = materialize(sketches(docs), "sketches")
-    named = made.where("doc_id is not null")
-    classes, _ = materialize(named.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("mh").alias("mh")), "classes")
+    named = made.where("doc_id is not null and n_shingles > 0")
+    same_set = ["n_shingles", "f1", "f2"]
+    classes, _ = materialize(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.max("mh").alias("mh"), F.max("bins").alias("bins")), "classes")
+    sketch = classes.select("rep", F.col("n_shingles").alias("n"), "bins")
     join = _Join(docs, classes)
 
     nodes = root_nodes(classes)
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     crowded, _ = materialize(nodes.join(counts, "node"), "nodes")
-    sketch = classes.select("rep", F.col("n_shingles").alias("n"), "mh")
-    alone = F.col("rep").alias("c")
-    members = crowded.join(sketch, "rep").select("node", "many", "rep", "n", "mh", alone)
 
+    # first round: a forest inside small nodes, a star inside large ones
+    members = crowded.join(sketch, "rep").withColumn("c", F.col("rep"))
     small = _listed(members.where(F.col("many") <= LIMIT), "node").mapInArrow(_compare(True), "a long, b long")
-    pairs, _ = materialize(small.union(_star_pairs(members.where(F.col("many") > LIMIT))).distinct(), "pairs")
-    judged, _ = materialize(join.confirmed(pairs), "judged")
+    links, found, judged = join.round(small.union(_star_pairs(members.where(F.col("many") > LIMIT))), None, None)
+
+    # what still holds several components, down to small nodes and tiles
+    leaves = _leaves(crowded, found, classes, sketch)
+    for forest in (True, False):
+        members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
+        links, found, judged = join.round(_listed(members, "node").mapInArrow(_compare(forest), "a long, b long"), found, judged)
 
-    own, _ = materialize(named.where("n_shingles > 0").join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "rep"), "own")
+    own, _ = materialize(named.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "n_shingles", "rep"), "own")
     # classes that share a doc_id are linked without a comparison
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_hi")).where("a < _hi").select("doc_id", "a")
     same_id = own.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-    linked = judged.where("linked").select("a", "b")
-    found, _ = materialize(components(linked), "components")
-
-    # second round: nodes that still hold several components
-    def with_component(rows: DataFrame) -> DataFrame:
-        known = found.select(F.col("node").alias("rep"), "component")
-        return rows.join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """Rows (node, rep, c) of nodes with more than one component, with the node's number of classes."""
-        span = rows.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("node", "many")
-        return rows.join(span, "node")
-
-    level, more = 0, []
-    open_nodes, _ = materialize(unsettled(with_component(crowded.select("node", "rep"))), "open")
-    while True:
-        few = open_nodes.where(F.col("many") <= LIMIT).join(sketch, "rep")
-        more.append(_listed(few, "node").mapInArrow(_compare(False), "a long, b long"))
-        big = open_nodes.where(F.col("many") > LIMIT)
+    if not same_id.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_id))
+    final = found.select(F.col("node").alias("rep"), "component")
+    full = own.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    rest = made.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    known = found.select(F.col("node").alias("rep"), "component")
+    return rows.join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Rows (node, rep, c) of nodes with more than one component, with the node's number of classes."""
+    span = rows.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("node", "many")
+    return rows.select("node", "rep", "c").join(span, "node")
+
+
+def _leaves(crowded: DataFrame, found: DataFrame, classes: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(node, rep): small nodes and tiles below the roots that hold several components."""
+    rows, _ = materialize(_unsettled(_with_component(crowded.select("node", "rep"), found)), "open")
+    leaves = rows.where(F.col("many") <= LIMIT).select("node", "rep")
+    for level in range(len(LEVELS) + 1):
+        big = rows.where(F.col("many") > LIMIT)
         if big.isEmpty():
             break
         if level == len(LEVELS):
-            more.append(_tiles(big.join(sketch, "rep")).mapInArrow(_compare(False), "a long, b long"))
+            leaves = leaves.union(_tiles(big))
             break
-        below = child_nodes(big.join(sketch, "rep").select("node", "rep", "mh"), level)
-        open_nodes, _ = materialize(unsettled(with_component(below)), "open")
-        level += 1
-    rest = more[0]
-    for m in more[1:]:
-        rest = rest.union(m)
-    rest, _ = materialize(rest.distinct().join(judged, ["a", "b"], "left_anti"), "pairs")
-    links = linked.union(same_id)
-    if not rest.isEmpty():
-        links = links.union(join.confirmed(rest).where("linked").select("a", "b"))
-    final = components(links).select(F.col("node").alias("rep"), "component")
-    full = own.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = made.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        below = child_nodes(big.join(classes.select("rep", "mh"), "rep"), level)
+        rows, _ = materialize(_unsettled(_with_component(below, found)), "open")
+        leaves = leaves.union(rows.where(F.col("many") <= LIMIT).select("node", "rep"))
+    return leaves
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Large nodes as tiles of about LIMIT by LIMIT classes, each pair of parts in one tile."""
-    parts = F.ceil(F.col("many") / (LIMIT // 2)).cast("int")
+    """Large nodes as tiles of about TILE by TILE classes, each pair of parts in one tile."""
+    parts = F.ceil(F.col("many") / TILE).cast("int")
     part = F.pmod(F.xxhash64("rep"), parts).cast("int")
     dealt = members.withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumns({"_x": F.least("_p", "_o"), "_y": F.greatest("_p", "_o")})
-    return _listed(dealt, "node", "_x", "_y")
+    return dealt.select(F.xxhash64("node", F.least("_p", "_o"), F.greatest("_p", "_o")).alias("node"), "rep")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs without the documents that near_duplicates doesn't keep; of rows that share a kept doc_id one stays.
+
+    Only rows whose doc_id may be among the dropped or repeated ones are shuffled; all others stay where they are.
+    """
+    judged, _ = materialize(near_duplicates(docs), "judged-docs")
+    named = judged.where("doc_id is not null")
+    odd, _ = materialize(named.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept")).where("_n > 1 or not _kept"), "odd")
+    tagged = docs.withColumn("rep", F.col("doc_id").cast("long"))
+    place, maps = _bitmaps(odd.select("rep"))
+    met = tagged.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_m"), "left").withColumn("_maybe", F.coalesce(_bit(place) == 1, F.lit(False)))
+    sure = met.where("not _maybe").select(*docs.columns)
+    maybe = met.where("_maybe").join(odd, "rep", "left").where("_kept is null or _kept")
+    once = maybe.where("_n is null").select(*docs.columns).unionByName(maybe.where("_n > 1").dropDuplicates(["rep"]).select(*docs.columns))
+    return sure.unionByName(once)
