@@ -10,7 +10,7 @@ classes that agree in LEVELS values and more: it is compared exhaustively too, a
 Comparing means a sketch first: one permutation's least hash in each of BINS bins, whose agreement over the bins that
 either set fills estimates the similarity. A pair is a candidate if its sizes allow the threshold (exact) and the estimate
 is no further below it than DEVIATIONS standard deviations (a chance below 1e-5 for a pair at the threshold). Candidates
-meet a wider sketch of the same kind, by the same rule, and are then confirmed on full sets. Two rounds take from each node a spanning forest of its candidates, the most similar pairs
+meet a wider sketch and are then confirmed on full sets. Two rounds take from each node a spanning forest of its candidates, the most similar pairs
 first, at most one pair for each class in it; after those only candidates between different components are left, and the
 last round confirms all of them. That loses no link between components and never expands a group of copies into pairs.
 
@@ -45,11 +45,11 @@ TREES = 6
 ROOTS = tuple((2 * t, 2 * t + 1) if t % 3 == 0 else (2 * t,) for t in range(TREES))  # 8 in all
 #: Further levels, each with values of its own to choose from.
 LEVELS = tuple(tuple(range(2 * TREES + 5 * i, 2 * TREES + 5 * i + 5)) for i in range(4))
-LIMIT = 64
+LIMIT = 512
 #: Classes on a side of a tile.
 TILE = 256
 BINS = 128
-BATCH_ROWS = 512
+BATCH_ROWS = 64
 #: Bins of the wider sketch that candidates meet before full sets do.
 WIDE = 1024
 DEVIATIONS = 4.5
@@ -171,9 +171,12 @@ MEMBERS = "array<struct<rep:long,n:long,bins:binary,c:long>>"
 def _likely(n: np.ndarray, n2: np.ndarray, bins: np.ndarray, bins2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether sizes and sketches allow the threshold, and the estimates; row by row, either side may be one row."""
     t = THRESHOLD / 100
-    filled = ((bins > 0) | (bins2 > 0)).sum(1)
-    estimate = ((bins == bins2) & (bins > 0)).sum(1) / np.maximum(filled, 1)
-    ok = estimate >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(filled, 1))
+    filled = np.maximum(((bins > 0) | (bins2 > 0)).sum(1), 1)
+    estimate = ((bins == bins2) & (bins > 0)).sum(1) / filled
+    # filled bins are a sample without replacement of the union, which at the threshold has this size
+    union = np.maximum((n + n2) / (1 + t), filled)
+    spread = np.sqrt(t * (1 - t) / filled * (union - filled + 1) / union)
+    ok = estimate >= t - DEVIATIONS * spread
     return ok & (100 * np.minimum(n, n2) >= THRESHOLD * np.maximum(n, n2)), estimate
 
 
@@ -190,48 +193,66 @@ def _candidates(n: np.ndarray, bins: np.ndarray, comp: np.ndarray) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(node, rep, n, sketch, component) arrays of each row (node, members) that holds several components."""
+    for node, members in zip(batch.column(0), batch.column(1), strict=True):
+        s = members.values
+        rep, n, comp = (s.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c"))
+        if len(rep) > 1 and not (comp == comp[0]).all():
+            yield node.as_py(), rep, n, buffers(s.field("bins"))[0].reshape(len(rep), -1), comp
+
+
+def _forest(i: np.ndarray, j: np.ndarray, estimate: np.ndarray, comp: np.ndarray) -> list[int]:
+    """Numbers of the pairs that join components without a cycle, the most similar first."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    picked = []
+    for k in np.argsort(-estimate, kind="stable"):
+        x, y = top(int(comp[i[k]])), top(int(comp[j[k]]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            picked.append(k)
+    return picked
+
+
 def _compare(forest: bool):
-    """Members of small nodes to pairs (a < b): a spanning forest of the candidates, or all between different components."""
+    """(node, members) to pairs (a < b): a spanning forest of the candidates, or all between different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for members in batch.column(0):
-                s = members.values
-                reps = s.field("rep").to_numpy(zero_copy_only=False)
-                comp = s.field("c").to_numpy(zero_copy_only=False)
-                if len(reps) < 2 or (comp == comp[0]).all():
-                    continue
-                n = s.field("n").to_numpy(zero_copy_only=False)
-                bins = buffers(s.field("bins"))[0].reshape(-1, BINS)
+            out = [np.zeros((0, 2), np.int64)]
+            for _, rep, n, bins, comp in _groups(batch):
                 i, j, estimate = _candidates(n, bins, comp)
                 if forest:
-                    up: dict[int, int] = {}
-
-                    def top(x: int) -> int:
-                        while x in up:
-                            x = up[x]
-                        return x
-
-                    picked = []
-                    for k in np.argsort(-estimate, kind="stable"):
-                        x, y = top(int(comp[i[k]])), top(int(comp[j[k]]))
-                        if x != y:
-                            up[max(x, y)] = min(x, y)
-                            picked.append(k)
+                    picked = _forest(i, j, estimate, comp)
                     i, j = i[picked], j[picked]
-                left.append(reps[i])
-                right.append(reps[j])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                out.append(np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
-def _listed(members: DataFrame, *keys: str) -> DataFrame:
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, members) to the members (node, rep) that are in a candidate pair between different components."""
+    for batch in batches:
+        out = [np.zeros((0, 2), np.int64)]
+        for node, rep, n, bins, comp in _groups(batch):
+            i, j, _ = _candidates(n, bins, comp)
+            some = np.unique(np.concatenate([i, j]))
+            out.append(np.column_stack([np.full(len(some), node, np.int64), rep[some]]))
+        rows = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["node", "rep"])
+
+
+def _listed(members: DataFrame) -> DataFrame:
     """One row for each small node or tile: the list of its members."""
-    return members.groupBy(*keys).agg(F.collect_list(F.struct("rep", "n", "bins", "c")).cast(MEMBERS).alias("members")).where(F.size("members") > 1).select("members")
+    return members.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "bins", "c")).cast(MEMBERS).alias("members")).where(F.size("members") > 1)
 
 
 def _star(many: int):
@@ -310,15 +331,20 @@ class _Join:
         self.spark, self.docs, self.classes = docs.sparkSession, docs, classes
         self.sets: DataFrame | None = None
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes with `linked`, judged on the full sets of the texts."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    def need(self, ids: DataFrame) -> None:
+        """Have the full sets of these classes (distinct rep) at hand."""
         if self.sets is not None:
             ids = ids.join(self.sets.select("rep").distinct(), "rep", "left_anti")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-        mine = _maybe(texts, ids).join(ids, "rep", "left_semi").dropDuplicates(["rep", "text"])
+        # an inner join: a semi join would be pushed below the map and shuffle all texts
+        mine = _maybe(texts, ids).join(ids, "rep").dropDuplicates(["rep", "text"])
         fresh, _ = materialize(mine.mapInArrow(_full_sets, SETS), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes with `linked`, judged on the full sets of the texts."""
+        self.need(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+
         def sides(*what: str) -> list[DataFrame]:
             return [self.sets.select(F.col("rep").alias(c), *[F.col(w).alias(w + t) for w in what]) for c, t in (("a", ""), ("b", "2"))]
 
@@ -370,14 +396,21 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
     # first round: a forest inside small nodes, a star inside large ones
     members = crowded.join(sketch, "rep").withColumn("c", F.col("rep"))
-    small = _listed(members.where(F.col("many") <= LIMIT), "node").mapInArrow(_compare(True), "a long, b long")
+    small = _listed(members.where(F.col("many") <= LIMIT)).mapInArrow(_compare(True), "a long, b long")
     links, found, judged = join.round(small.union(_star_pairs(members.where(F.col("many") > LIMIT))), None, None)
 
     # what still holds several components, down to small nodes and tiles
     leaves = _leaves(crowded, found, classes, sketch)
-    for forest in (True, False):
-        members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
-        links, found, judged = join.round(_listed(members, "node").mapInArrow(_compare(forest), "a long, b long"), found, judged)
+    members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
+    links, found, judged = join.round(_listed(members).mapInArrow(_compare(True), "a long, b long"), found, judged)
+
+    # all that may still join two components, by the wider sketch
+    members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
+    suspects, _ = materialize(_listed(members).mapInArrow(_suspects, "node long, rep long"), "suspects")
+    join.need(suspects.select("rep").distinct())
+    wide = join.sets.select("rep", "n", F.col("wide").alias("bins"))
+    members = _with_component(suspects, found).join(wide, "rep")
+    links, found, judged = join.round(_listed(members).mapInArrow(_compare(False), "a long, b long"), found, judged)
 
     own, _ = materialize(named.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "n_shingles", "rep"), "own")
     # classes that share a doc_id are linked without a comparison
