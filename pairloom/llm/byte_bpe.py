@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by prefix dynamic programming.
 
-For each prefix of a piece of bytes there is exactly one token that its encoding can end with. A prefix's last token is
-the longest suffix token that may follow the last token of what stands before it; whether two tokens may stand side by
-side depends on these two alone. An encoding is read off backwards. Appending bytes leaves all earlier entries as they
+For each prefix of a piece of bytes there is exactly one token that its encoding can end with: the one suffix token that
+may follow the last token of what stands before it; whether two tokens may stand side by side depends on these two alone.
+An automaton names the tokens that end at each byte. An encoding is read off backwards. Appending bytes leaves all earlier entries as they
 are; after an edit, entries are recomputed only until they agree with the old ones over the length of a longest token.
 
 Encoder holds the ranks and the pair test, Prefixes one piece with append and edit, `encode` and `encode_texts` the
@@ -20,6 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 _NEVER = 1 << 62
 #: Pieces remembered in a task, and the longest of them.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 48
+REMEMBERED, REMEMBERED_BYTES = 600_000, 48
 
 
 class Encoder:
@@ -39,6 +40,10 @@ class Encoder:
         self._split: dict[int, tuple[int, int] | None] = {}
         self._beside: dict[tuple[int, int], bool] = {}
         self._piece: dict[str, bytes] = {}
+        self.suffixes = ahocorasick.Automaton()
+        for raw, token in ranks.items():
+            self.suffixes.add_word(raw.decode("latin-1"), (token, len(raw)))
+        self.suffixes.make_automaton()
 
     @classmethod
     def from_tiktoken(cls, path: str, pattern: str) -> Encoder:
@@ -133,29 +138,34 @@ class Prefixes:
         self.encoder, self.raw, self.last = encoder, bytearray(), []
         self.append(raw)
 
-    def _last(self, end: int) -> int:
-        e, raw, last = self.encoder, self.raw, self.last
-        ranks, beside, width = e.ranks, e._beside, e.bytes_of
-        for start in range(max(0, end - e.longest), end):
-            token = ranks.get(bytes(raw[start:end]))
-            if token is None:
-                continue
-            if start == 0:
-                # it stands alone only if its own merges make it whole
-                if end == 1 or e._halves(token) is not None:
-                    return token
-                continue
-            before = last[start - 1]
-            ok = beside.get((before, token))
-            if ok or (ok is None and e.beside(before, token)):
-                return token
-        raise ValueError(f"no token ends at byte {end} of {width and bytes(raw[:end])!r}")
+    def _fill(self, start: int, stop: int) -> None:
+        """Entries start to stop - 1, from all before them."""
+        e, last, done = self.encoder, self.last, start
+        seen = max(0, start - e.longest + 1)
+        beside, stay = e._beside.get, e.beside
+        for end, (token, size) in e.suffixes.iter(self.raw[seen:stop].decode("latin-1")):
+            end += seen
+            if end < done:
+                continue  # known, or found among the tokens that end here
+            at = end - size
+            if at < 0:
+                # alone, it stands only if its own merges make it whole
+                fits = size == 1 or e._halves(token) is not None
+            else:
+                pair = (last[at], token)
+                fits = beside(pair)
+                if fits is None:
+                    fits = stay(*pair)
+            if fits:
+                last.append(token)
+                done = end + 1
+        if done != stop:
+            raise ValueError(f"no token ends at byte {done} of {bytes(self.raw[:done + 1])!r}")
 
     def append(self, more: bytes) -> None:
         start = len(self.raw)
         self.raw += more
-        for end in range(start + 1, len(self.raw) + 1):
-            self.last.append(self._last(end))
+        self._fill(start, len(self.raw))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace bytes start to end; returns how many entries were computed anew."""
@@ -164,8 +174,8 @@ class Prefixes:
         self.last = old_last[:start]
         agree, done = 0, 0
         for at in range(start + 1, len(self.raw) + 1):
-            token = self._last(at)
-            self.last.append(token)
+            self._fill(at - 1, at)
+            token = self.last[-1]
             done += 1
             if at > start + len(new):
                 agree = agree + 1 if old_last[at - 1 - shift] == token else 0
