@@ -1,18 +1,18 @@
 """MinHash near-dedup by chosen-path set similarity join.
 
 A document's set is its distinct 5-word shingles. Documents with equal sets form one class first; classes carry K minwise
-values. A tree of the join sends each class, at the root, to one or two nodes chosen by a minwise value; a node that
-holds more than LIMIT classes and more than one component branches again on further values, chosen by the node's own
-path; a node with few classes is compared exhaustively inside one task. TREES independent roots repeat this, so that a
-pair at the threshold shares no root node with a chance below 2e-5. A node that stays large below all branchings holds
-classes that agree in LEVELS values and more: it is compared exhaustively too, as tiles of LIMIT by LIMIT classes.
+values. A tree of the join sends each class, at the root, to one or two nodes chosen by a minwise value. A node with up to LIMIT
+classes is compared exhaustively inside one task. A larger one whose classes are one component but for LIMIT is cut into
+strips, each part of the component with all the others; any other branches again on further values, chosen by the node's
+own path. TREES independent roots repeat this, so that a pair at the threshold shares no root node with a chance below
+2e-5. What stays large below all branchings is compared exhaustively too, as tiles of TILE by TILE classes.
 
 Comparing means a sketch first: one permutation's least hash in each of BINS bins, whose agreement over the bins that
 either set fills estimates the similarity. A pair is a candidate if its sizes allow the threshold (exact) and the estimate
 is no further below it than DEVIATIONS standard deviations (a chance below 1e-5 for a pair at the threshold). Candidates
-meet a wider sketch and are then confirmed on full sets. Two rounds take from each node a spanning forest of its candidates, the most similar pairs
-first, at most one pair for each class in it; after those only candidates between different components are left, and the
-last round confirms all of them. That loses no link between components and never expands a group of copies into pairs.
+meet a wider sketch and are then confirmed on full sets. Two rounds take from each node a spanning forest of its
+candidates, the most similar pairs first; after those only candidates between different components are left. The last
+round finds the classes that are in any, and confirms all of those pairs that the wider sketch allows. That loses no link between components and never expands a group of copies into pairs.
 
 Two passes over the texts: one makes the minwise values (numbers only, no text leaves its task), the other makes full
 sets for those classes alone that stand in a candidate pair. Links, components and sets stay distributed.
@@ -394,13 +394,14 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     crowded, _ = materialize(nodes.join(counts, "node"), "nodes")
 
-    # first round: a forest inside small nodes, a star inside large ones
+    # first round: a forest inside each node, or inside parts of a large one, which a star ties together
     members = crowded.join(sketch, "rep").withColumn("c", F.col("rep"))
-    small = _listed(members.where(F.col("many") <= LIMIT)).mapInArrow(_compare(True), "a long, b long")
-    links, found, judged = join.round(small.union(_star_pairs(members.where(F.col("many") > LIMIT))), None, None)
+    parts = members.withColumn("node", F.when(F.col("many") > LIMIT, F.xxhash64("node", _part(F.ceil(F.col("many") / LIMIT)))).otherwise(F.col("node")))
+    pairs = _listed(parts).mapInArrow(_compare(True), "a long, b long").union(_star_pairs(members.where(F.col("many") > LIMIT)))
+    links, found, judged = join.round(pairs, None, None)
 
     # what still holds several components, down to small nodes and tiles
-    leaves = _leaves(crowded, found, classes, sketch)
+    leaves = _leaves(crowded, found, classes)
     members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
     links, found, judged = join.round(_listed(members).mapInArrow(_compare(True), "a long, b long"), found, judged)
 
@@ -430,33 +431,47 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """Rows (node, rep, c) of nodes with more than one component, with the node's number of classes."""
-    span = rows.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("node", "many")
-    return rows.select("node", "rep", "c").join(span, "node")
+    """Rows (node, rep, c) of nodes with more than one component, with the node's number of classes, its largest component
+    and how many classes stand outside that."""
+    per = rows.groupBy("node", "c").agg(F.count(F.lit(1)).alias("_n"))
+    span = per.groupBy("node").agg(F.sum("_n").alias("many"), F.max(F.struct("_n", "c")).alias("_t"), F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
+    return rows.select("node", "rep", "c").join(span.select("node", "many", F.col("_t.c").alias("top"), (F.col("many") - F.col("_t._n")).alias("rest")), "node")
 
 
-def _leaves(crowded: DataFrame, found: DataFrame, classes: DataFrame, sketch: DataFrame) -> DataFrame:
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), parts)
+
+
+def _leaves(crowded: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, rep): small nodes and tiles below the roots that hold several components."""
     rows, _ = materialize(_unsettled(_with_component(crowded.select("node", "rep"), found)), "open")
-    leaves = rows.where(F.col("many") <= LIMIT).select("node", "rep")
+    leaves = None
     for level in range(len(LEVELS) + 1):
-        big = rows.where(F.col("many") > LIMIT)
+        own = rows.where(F.col("many") <= LIMIT).select("node", "rep").union(_strips(rows.where((F.col("many") > LIMIT) & (F.col("rest") <= LIMIT))))
+        leaves = own if leaves is None else leaves.union(own)
+        big = rows.where((F.col("many") > LIMIT) & (F.col("rest") > LIMIT))
         if big.isEmpty():
             break
         if level == len(LEVELS):
             leaves = leaves.union(_tiles(big))
             break
-        below = child_nodes(big.join(classes.select("rep", "mh"), "rep"), level)
+        below = child_nodes(big.select("node", "rep").join(classes.select("rep", "mh"), "rep"), level)
         rows, _ = materialize(_unsettled(_with_component(below, found)), "open")
-        leaves = leaves.union(rows.where(F.col("many") <= LIMIT).select("node", "rep"))
     return leaves
 
 
+def _strips(members: DataFrame) -> DataFrame:
+    """Large nodes of which few classes stand outside the largest component: parts of that, each with all of those."""
+    parts = F.ceil(F.col("many") / LIMIT)
+    every = F.sequence(F.lit(0).cast("long"), parts - 1)
+    strips = members.withColumn("_p", F.explode(F.when(F.col("c") == F.col("top"), F.array(_part(parts))).otherwise(every)))
+    return strips.select(F.xxhash64("node", "_p").alias("node"), "rep")
+
+
 def _tiles(members: DataFrame) -> DataFrame:
     """Large nodes as tiles of about TILE by TILE classes, each pair of parts in one tile."""
-    parts = F.ceil(F.col("many") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    dealt = members.withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    parts = F.ceil(F.col("many") / TILE)
+    dealt = members.withColumn("_p", _part(parts)).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return dealt.select(F.xxhash64("node", F.least("_p", "_o"), F.greatest("_p", "_o")).alias("node"), "rep")
 
 
