@@ -164,3 +164,13 @@ def share_of_gain(rows: DataFrame, by: list[str], arm: str, value: str, floor: l
     arms = {a: F.max(F.when(F.col(arm) == a, F.col(value))) for a in (*floor, top)}
     ends = rows.groupBy(*by).agg((F.least(*[arms[a] for a in floor]) if len(floor) > 1 else arms[floor[0]]).alias("_floor"), arms[top].alias("_top"))
     return rows.join(ends, by).withColumn("share_of_gain", F.try_divide(F.col("_floor") - F.col(value), F.col("_floor") - F.col("_top"))).drop("_floor", "_top")
+
+
+def ladder(rows: DataFrame, by: list[str], arm: str, got: str, want: str, span: tuple[str, str], shape_r: str, seconds: tuple[str, str], speaker: str) -> DataFrame:
+    """One row for each key and arm: level and span errors, r pooled and within speakers (singletons kept, over 3 rows),
+    mean shape r, duration ratio, speakers."""
+    keys = [*by, arm]
+    full = rows.where(F.col(got).isNotNull() & F.col(want).isNotNull())
+    table = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(got) - F.col(want))).alias("level_mae"), F.avg(F.abs(F.col(span[0]) - F.col(span[1]))).alias("span_mae"), guarded_corr(got, want, 4).alias("r_pooled"), F.avg(shape_r).alias("shape_r_mean"), F.avg(F.try_divide(F.col(seconds[0]), F.col(seconds[1]))).alias("duration_ratio"), F.countDistinct(speaker).alias("n_speakers"))
+    within = decomposition(full, got, want, speaker, keys, drop_singletons=False, least=4).select(*keys, F.col("within_r").alias("r_within"))
+    return table.join(within, keys, "left")
