@@ -21,11 +21,14 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 _NEVER = 1 << 62
 #: Pieces remembered in a task, and the longest of them.
 REMEMBERED, REMEMBERED_BYTES = 600_000, 48
@@ -192,23 +195,19 @@ class Prefixes:
         return out[::-1]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker, with what it has learned about pieces and pairs."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder.from_tiktoken(path, pattern)
-    return _ENCODERS[path, pattern]
+    """An encoder for one task, or one batch: workers outlive tasks, so nothing is kept between them."""
+    return Encoder.from_tiktoken(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with ids (array of int), the encoding of the whole text."""
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(path, pattern)
-        return texts.map(lambda t: e.encode(t or ""))
+        for texts in batches:
+            yield texts.map(lambda t: e.encode(t or ""))
 
     return docs.withColumn("ids", ids(F.col(text)))
 
@@ -217,9 +216,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     """tokens with decoded (binary); null ids give empty bytes."""
 
     @F.pandas_udf("binary")
-    def back(column):
+    def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(path, pattern)
-        return column.map(lambda x: e.decode(x) if x is not None else b"")
+        for column in batches:
+            yield column.map(lambda x: e.decode(x) if x is not None else b"")
 
     return tokens.withColumn("decoded", back(F.col(ids)))
 
@@ -248,5 +248,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", k
                 back.append(hashlib.sha256(decoded).hexdigest())
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+        del e, bytes_of
+        tidy()
 
     return source.mapInArrow(run, f"{schema}, {DIGESTS}")

@@ -31,52 +31,54 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def _window_marks(words: Column) -> Column:
-    """Hashes of all 3-word windows, in order."""
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a lambda's body names from outside is computed again for each
+    element, its own variable is not. An expression so closed may be copied into a filter without harm."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _places_twice(dealt: Column) -> Column:
-    """Sorted (mark, place) pairs to the ascending places whose mark has an equal neighbour."""
+def _repeat_words(words: Column) -> Column:
+    """How many words stand in a 3-word window that the text has twice or more.
 
-    def twin(x: Column, k: Column) -> Column:
-        return (F.coalesce(F.get(dealt, k - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get(dealt, k + 1)["h"] == x["h"], F.lit(False)))
+    Windows' hashes are sorted with their places; equal neighbours mark places, and sorted places cover up to three words
+    each: n log n for any text, without a shuffle.
+    """
 
-    return F.sort_array(F.transform(F.filter(dealt, twin), lambda x: x["i"]))
+    def twins(dealt: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(dealt, k)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(dealt, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(places, start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
 
-def _covered(places: Column) -> Column:
-    """Words under 3-word windows that start at the ascending places."""
-    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(places, start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
+    def count(marks: Column) -> Column:
+        dealt = F.sort_array(F.transform(marks, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(marks)) < F.size(marks), let(let(dealt, twins), covered)).otherwise(F.lit(0).cast("long"))
 
+    windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return let(windows, count)
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the further statistics of FEATURES.
 
-    Windows' hashes are sorted with their places; equal neighbours mark places, and sorted places cover up to three words
-    each: n log n for any text, without a shuffle.
-    """
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the further statistics of FEATURES."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumn("_words", F.filter(F.split(body, SPACES), lambda w: w != "")).withColumn("_lines", lines)
-    out = out.withColumn("_marks", _window_marks(F.col("_words")))
-    out = out.withColumn("_dealt", F.when(F.size(F.array_distinct("_marks")) < F.size("_marks"), F.sort_array(F.transform("_marks", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    out = out.withColumn("_places", _places_twice(F.col("_dealt")))
+    less = lambda x, chars: (F.length(x) - F.length(F.translate(x, chars, ""))).cast("long")
     packed = F.translate(body, " \t\n\x0b\x0c\r", "")
+    n = lambda x: F.size(x).cast("long")
+    of_words = let(F.filter(F.split(body, SPACES), lambda w: w != ""), lambda w: F.struct(n(w).alias("n_words"), n(F.array_distinct(w)).alias("n_kinds"), _repeat_words(w).alias("n_repeat_words")))
+    of_lines = let(F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.struct(n(x).alias("n_lines"), (n(x) - n(F.array_distinct(x))).alias("n_dup_lines")))
+    out = docs.withColumns({"_words": of_words, "_lines": of_lines})
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        **{k: F.col("_words")[k] for k in ("n_words", "n_kinds", "n_repeat_words")},
+        **{k: F.col("_lines")[k] for k in ("n_lines", "n_dup_lines")},
         "word_chars": F.length(packed).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(_covered(F.col("_places")), F.lit(0)).cast("long"),
-        "n_upper": (F.length(packed) - F.length(F.translate(packed, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊÍÑÓÖÚÜ", ""))).cast("long"),
-        "n_marks": (F.length(packed) - F.length(F.translate(packed, "!?…", ""))).cast("long"),
-        "n_digits": (F.length(packed) - F.length(F.translate(packed, "0123456789", ""))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_kinds": F.size(F.array_distinct("_words")).cast("long"),
+        "n_symbols": less(body, SYMBOLS),
+        "n_upper": less(packed, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊÍÑÓÖÚÜ"),
+        "n_marks": less(packed, "!?…"),
+        "n_digits": less(packed, "0123456789"),
     })
-    return out.drop("_words", "_lines", "_marks", "_dealt", "_places")
+    return out.drop("_words", "_lines")
 
 
 #: Ratios that decision lists may test, each per word, character or line.
@@ -233,5 +235,5 @@ def apply(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def kept_only(judged: DataFrame) -> DataFrame:
-    """Rows that are kept. The row mark holds the optimizer back from copying the statistics into the filter."""
+    """Rows that are kept. The row mark holds the optimizer back from computing the statistics in the filter once more."""
     return judged.withColumn("_mark", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_mark") >= 0)).drop("_mark")
