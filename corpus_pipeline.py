@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, mixing, near_dedup, quality_classifier, quality_rules
 from pairloom.llm.store import materialize
@@ -18,7 +19,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: what base rules or the learned decision list reject goes."""
     learned = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.kept_only(quality_rules.apply(docs, learned)).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_doc"), "text")
+    return quality_rules.kept_only(quality_rules.apply(whole, learned)).select("_doc.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memory import tidy
+from .memory import text_batches, tidy
 
 _NEVER = 1 << 62
 #: Pieces remembered in a task, and the longest of them.
@@ -232,6 +232,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", k
 
     Ids and decoded bytes live only inside the task, one text at a time.
     """
+    text_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 

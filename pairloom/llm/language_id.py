@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .memory import text_batches
 from .words import buffers, chunks
 
 ORDER = 3
@@ -184,6 +185,7 @@ def train(docs: DataFrame, most: int = DOCS) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score: the language with the shortest code, and 2 ^ -bits of it over the sum of all
     languages', where the bits of texts over 64 bytes count as if they had 64."""
+    text_batches(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
     languages = pa.array([*model.languages, "und"], pa.string())
     und = len(model.languages)

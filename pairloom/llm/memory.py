@@ -1,4 +1,4 @@
-"""Memory that Python workers give back between tasks: they live on, and what one stage held would count in the next."""
+"""What keeps Python workers small: short batches, and memory given back between tasks, as workers live on."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
+BATCH_ROWS = 1_000
 
 
 def tidy() -> None:
@@ -15,3 +19,11 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Texts may be long: unless the session has a limit of its own, batches get BATCH_ROWS rows at most. Both the JVM's
+    buffers and the workers hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -200,9 +200,9 @@ def test_resampling(spark, odd_docs, no_docs):
     good = [r.kept for r in rows if q.get(r.doc_id) == 1]
     bad = [r.kept for r in rows if q.get(r.doc_id) == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
-    odd = odd_docs.drop("kept", "_key")
+    odd = odd_docs
     some, kept = quality_classifier.resample(odd, labels, share=0.5)
-    assert some.count() == odd.count() and kept.columns == odd.columns
+    assert some.count() == odd.count() and kept.columns == odd.columns and {r["_key"] for r in kept.collect()} == {"clash"}
     none, kept = quality_classifier.resample(no_docs, labels)
     assert none.count() == kept.count() == 0
     flat, _ = quality_classifier.resample(odd, labels.limit(0), share=1.0)
@@ -437,7 +437,7 @@ def test_near_duplicates_odd(spark, odd_docs, no_docs):
     assert got[8, 1, 8, True] == 1 and got[9, 1, 8, False] == 1 and got[None, 3, None, True] == 1 and got[None, 0, None, True] == 1
     assert {k[2] for k in got if k[0] in (6, 7)} == {6} and sum(got.values()) == odd.count()
     kept = near_dedup.deduplicated(odd)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 10, 11] and kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 10, 11] and kept.columns == odd.columns and {r.rep for r in kept.collect()} == {"clash"} and kept.where("doc_id is null").count() == 2
     assert near_dedup.near_duplicates(no_docs).count() == near_dedup.deduplicated(no_docs).count() == 0
     two = spark.createDataFrame([(1, "a b c d e f", "", "", 0), (1, "q w e r t y", "", "", 0), (2, "q w e r t y", "", "", 0), (3, "a b c d e f", "", "", 0)], DOCS)
     assert {r.component_id for r in near_dedup.near_duplicates(two).collect()} == {1}
