@@ -1,37 +1,70 @@
 """Connected components of a distributed link table, by alternating large-star and small-star steps.
 
-Each step is a minimum by node and a join that links anew: no task ever holds a component or a list of neighbours; a node
-with very many of them streams through a sorted join. Steps are written to the shared folder, the step before
-last is deleted, and the loop ends when a step changes nothing, after about log2 of the largest component.
+A step is one exchange by node and a window that finds each node's least neighbour. No task holds a component; a node with
+very many neighbours is a window that spills. Steps are written to the shared folder, the one before is deleted, and the
+loop ends when a step changes nothing, after about log2 of the largest component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .store import materialize, release
 
+EDGES = "u long, v long"
+
+
+def _relink(large: bool):
+    """Rows (u, v) sorted by u, v to new links, larger node first. large: larger neighbours to the least of the node and
+    its neighbours; else (all v are smaller) the node and its neighbours to the least neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = least = last = None
+        for batch in batches:
+            u, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if not len(u):
+                continue
+            new = np.ones(len(u), bool)
+            new[1:] = u[1:] != u[:-1]
+            fresh = np.ones(len(u), bool)
+            fresh[1:] = new[1:] | (v[1:] != v[:-1])
+            group = np.cumsum(new) - 1
+            m = np.minimum(u[new], v[new])
+            if node is not None and node == u[0]:
+                m[0], new[0], fresh[0] = least, False, last != v[0]
+            own = m[group]
+            if large:
+                keep = fresh & (v > u)
+                a, b = v[keep], own[keep]
+            else:
+                keep = fresh & (v != own)
+                a, b = np.concatenate([v[keep], u[new]]), np.concatenate([own[keep], own[new]])
+            node, least, last = u[-1], own[-1], v[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+    return run
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """large: link each node's larger neighbours to the least of it and its neighbours; small: the same for smaller ones."""
-    if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("_m", "u").alias("m"))
-    joined = both.join(least, "u")
+    """large: larger neighbours are linked to the least of the node and its neighbours; else, as all v are smaller than u,
+    the node and its other neighbours to the least neighbour. A row gives a row at most."""
+    least = F.min("v").over(W.partitionBy("u"))
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        return both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return edges.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """(node, component): every node of a link between two different nodes, with the smallest node it reaches."""
     spark = links.sparkSession
-    edges, path = materialize(links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v").distinct(), "links")
+    edges, path = materialize(links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v"), "links")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -44,5 +77,5 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         if now == seen:
             break
         seen = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

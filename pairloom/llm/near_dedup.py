@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import tidy
 from .store import materialize
 from .words import buffers, chunks, mix, words
 
@@ -45,11 +46,11 @@ TREES = 6
 ROOTS = tuple((2 * t, 2 * t + 1) if t % 3 == 0 else (2 * t,) for t in range(TREES))  # 8 in all
 #: Further levels, each with values of its own to choose from.
 LEVELS = tuple(tuple(range(2 * TREES + 5 * i, 2 * TREES + 5 * i + 5)) for i in range(4))
-LIMIT = 512
+LIMIT = 1024
 #: Classes on a side of a tile.
 TILE = 256
 BINS = 128
-BATCH_ROWS = 64
+BATCH_ROWS = 32
 #: Bins of the wider sketch that candidates meet before full sets do.
 WIDE = 1024
 DEVIATIONS = 4.5
@@ -140,9 +141,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), fixed_binary(minwise(sets, to)), fixed_binary(binned(sets, to))], ["doc_id", "n_shingles", "f1", "f2", "mh", "bins"])
 
 
+def _tidied(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        tidy()
+
+    return run
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """One row for each document: set size, 128-bit fingerprint of the set, minwise values."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tidied(_sketch), SKETCH)
 
 
 def value(k: int) -> Column:
@@ -156,11 +165,11 @@ def root_nodes(classes: DataFrame) -> DataFrame:
 
 
 def child_nodes(members: DataFrame, level: int) -> DataFrame:
-    """(node, rep) below members (node, rep, mh): one or two values of this level, chosen by the node."""
+    """(node, rep) below members (node, rep, mh): two values of this level, chosen by the node."""
     own = LEVELS[level]
     first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(len(own)))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(level), F.lit(1)), F.lit(3)) == 0, (first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(len(own) - 1))) % len(own))
-    picks = F.array_compact(F.array(first, second))
+    second = (first + 1 + F.pmod(F.xxhash64("node", F.lit(level), F.lit(1)), F.lit(len(own) - 1))) % len(own)
+    picks = F.array(first, second)
     child = F.transform(picks, lambda k: F.xxhash64("node", k, F.substring(F.col("mh"), (k + own[0]).cast("int") * 4 + 1, F.lit(4))))
     return members.select(F.explode(child).alias("node"), "rep")
 
@@ -325,11 +334,12 @@ def _maybe(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """State of one run: texts, classes and what is already confirmed."""
+    """State of one run: texts, full sets at hand, pairs already judged."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.spark, self.docs, self.classes = docs.sparkSession, docs, classes
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
         self.sets: DataFrame | None = None
+        self.judged: DataFrame | None = None
 
     def need(self, ids: DataFrame) -> None:
         """Have the full sets of these classes (distinct rep) at hand."""
@@ -338,36 +348,36 @@ class _Join:
         texts = self.docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
         # an inner join: a semi join would be pushed below the map and shuffle all texts
         mine = _maybe(texts, ids).join(ids, "rep").dropDuplicates(["rep", "text"])
-        fresh, _ = materialize(mine.mapInArrow(_full_sets, SETS), "sets")
+        fresh, _ = materialize(mine.mapInArrow(_tidied(_full_sets), SETS), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes with `linked`, judged on the full sets of the texts."""
+        """Those of the pairs (a, b) of classes that are linked, judged on the full sets of the texts."""
         self.need(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
 
         def sides(*what: str) -> list[DataFrame]:
             return [self.sets.select(F.col("rep").alias(c), *[F.col(w).alias(w + t) for w in what]) for c, t in (("a", ""), ("b", "2"))]
 
         x, y = sides("n", "wide")
-        near, _ = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "n2", "wide", "wide2").mapInArrow(_star(WIDE), "a long, b long").distinct(), "near")
+        near = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "n2", "wide", "wide2").mapInArrow(_star(WIDE), "a long, b long")
+        near, _ = materialize(near, "near")
         x, y = sides("shingles")
         judged = near.join(x, "a").join(y, "b").select("a", "b", "shingles", "shingles2").mapInArrow(_confirm, "a long, b long, linked boolean")
-        linked = judged.where("linked").select("a", "b").distinct().withColumn("linked", F.lit(True))
-        return pairs.join(linked, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        return judged.where("linked").select("a", "b")
 
-    def round(self, pairs: DataFrame, found: DataFrame | None, judged: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Confirm pairs that aren't judged yet; returns the new links, all components and all judged pairs."""
+    def round(self, pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Confirm pairs that no round has judged yet; returns all components."""
         pairs = pairs.distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        fresh, _ = materialize(self.confirmed(materialize(pairs, "pairs")[0]), "judged")
-        links = fresh.where("linked").select("a", "b")
+        if self.judged is not None:
+            pairs = pairs.join(self.judged, ["a", "b"], "left_anti")
+        pairs, _ = materialize(pairs, "pairs")
+        self.judged = pairs if self.judged is None else self.judged.union(pairs)
+        links, _ = materialize(self.confirmed(pairs), "confirmed")
         if found is not None:
-            known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = found if links.isEmpty() else materialize(components(known.union(links)), "components")[0]
-        else:
-            found = materialize(components(links), "components")[0]
-        return links, found, fresh if judged is None else judged.union(fresh)
+            if links.isEmpty():
+                return found
+            links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return materialize(components(links), "components")[0]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -388,7 +398,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     same_set = ["n_shingles", "f1", "f2"]
     classes, _ = materialize(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.max("mh").alias("mh"), F.max("bins").alias("bins")), "classes")
     sketch = classes.select("rep", F.col("n_shingles").alias("n"), "bins")
-    join = _Join(docs, classes)
+    join = _Join(docs)
 
     nodes = root_nodes(classes)
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -398,12 +408,12 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     members = crowded.join(sketch, "rep").withColumn("c", F.col("rep"))
     parts = members.withColumn("node", F.when(F.col("many") > LIMIT, F.xxhash64("node", _part(F.ceil(F.col("many") / LIMIT)))).otherwise(F.col("node")))
     pairs = _listed(parts).mapInArrow(_compare(True), "a long, b long").union(_star_pairs(members.where(F.col("many") > LIMIT)))
-    links, found, judged = join.round(pairs, None, None)
+    found = join.round(pairs, None)
 
     # what still holds several components, down to small nodes and tiles
     leaves = _leaves(crowded, found, classes)
     members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
-    links, found, judged = join.round(_listed(members).mapInArrow(_compare(True), "a long, b long"), found, judged)
+    found = join.round(_listed(members).mapInArrow(_compare(True), "a long, b long"), found)
 
     # all that may still join two components, by the wider sketch
     members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
@@ -411,7 +421,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     join.need(suspects.select("rep").distinct())
     wide = join.sets.select("rep", "n", F.col("wide").alias("bins"))
     members = _with_component(suspects, found).join(wide, "rep")
-    links, found, judged = join.round(_listed(members).mapInArrow(_compare(False), "a long, b long"), found, judged)
+    found = join.round(_listed(members).mapInArrow(_compare(False), "a long, b long"), found)
 
     own, _ = materialize(named.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "n_shingles", "rep"), "own")
     # classes that share a doc_id are linked without a comparison
@@ -483,10 +493,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     judged, _ = materialize(near_duplicates(docs), "judged-docs")
     named = judged.where("doc_id is not null")
     odd, _ = materialize(named.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept")).where("_n > 1 or not _kept"), "odd")
-    tagged = docs.withColumn("rep", F.col("doc_id").cast("long"))
+    tagged = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("rep"))
     place, maps = _bitmaps(odd.select("rep"))
     met = tagged.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_m"), "left").withColumn("_maybe", F.coalesce(_bit(place) == 1, F.lit(False)))
-    sure = met.where("not _maybe").select(*docs.columns)
+    sure = met.where("not _maybe").select("_doc.*")
     maybe = met.where("_maybe").join(odd, "rep", "left").where("_kept is null or _kept")
-    once = maybe.where("_n is null").select(*docs.columns).unionByName(maybe.where("_n > 1").dropDuplicates(["rep"]).select(*docs.columns))
+    once = maybe.where("_n is null").select("_doc.*").unionByName(maybe.where("_n > 1").dropDuplicates(["rep"]).select("_doc.*"))
     return sure.unionByName(once)

@@ -421,7 +421,7 @@ def test_near_duplicates(spark, sf001, monkeypatch):
         rows.append((20_000 + i, " ".join(["one shared passage of words that all have"] + [f"u{i}_{k}" for k in range(40)]), "en", "s", 1))
     df = spark.createDataFrame(rows, DOCS)
     want = brute_components(df.collect())
-    for limit, tile in ((512, 256), (12, 8)):
+    for limit, tile in ((1024, 256), (12, 8)):
         monkeypatch.setattr(near_dedup, "LIMIT", limit)
         monkeypatch.setattr(near_dedup, "TILE", tile)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
