@@ -62,23 +62,29 @@ def _repeat_words(words: Column) -> Column:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the further statistics of FEATURES."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    less = lambda x, chars: (F.length(x) - F.length(F.translate(x, chars, ""))).cast("long")
-    packed = F.translate(body, " \t\n\x0b\x0c\r", "")
     n = lambda x: F.size(x).cast("long")
-    of_words = let(F.filter(F.split(body, SPACES), lambda w: w != ""), lambda w: F.struct(n(w).alias("n_words"), n(F.array_distinct(w)).alias("n_kinds"), _repeat_words(w).alias("n_repeat_words")))
-    of_lines = let(F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.struct(n(x).alias("n_lines"), (n(x) - n(F.array_distinct(x))).alias("n_dup_lines")))
-    out = docs.withColumns({"_words": of_words, "_lines": of_lines})
-    out = out.withColumns({
-        **{k: F.col("_words")[k] for k in ("n_words", "n_kinds", "n_repeat_words")},
-        **{k: F.col("_lines")[k] for k in ("n_lines", "n_dup_lines")},
-        "word_chars": F.length(packed).cast("long"),
-        "n_symbols": less(body, SYMBOLS),
-        "n_upper": less(packed, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊÍÑÓÖÚÜ"),
-        "n_marks": less(packed, "!?…"),
-        "n_digits": less(packed, "0123456789"),
-    })
-    return out.drop("_words", "_lines")
+    less = lambda x, chars: (F.length(x) - F.length(F.translate(x, chars, ""))).cast("long")
+
+    def of_words(w: Column) -> list[Column]:
+        return [n(w).alias("n_words"), n(F.array_distinct(w)).alias("n_kinds"), _repeat_words(w).alias("n_repeat_words")]
+
+    def of_lines(x: Column) -> list[Column]:
+        return [n(x).alias("n_lines"), (n(x) - n(F.array_distinct(x))).alias("n_dup_lines")]
+
+    def of_packed(p: Column) -> list[Column]:
+        """p: the text without white space."""
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊÍÑÓÖÚÜ"
+        return [F.length(p).cast("long").alias("word_chars"), less(p, SYMBOLS).alias("n_symbols"), less(p, letters).alias("n_upper"), less(p, "!?…").alias("n_marks"), less(p, "0123456789").alias("n_digits")]
+
+    def parts(body: Column) -> Column:
+        words = F.filter(F.split(body, SPACES), lambda w: w != "")
+        lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+        return F.struct(words.alias("words"), lines.alias("lines"), F.translate(body, " \t\n\x0b\x0c\r", "").alias("packed"))
+
+    # one closed expression for all of them: the statistics aren't code that grows with their number
+    made = let(parts(F.coalesce(F.col(text), F.lit(""))), lambda p: F.struct(*of_words(p["words"]), *of_lines(p["lines"]), *of_packed(p["packed"])))
+    out = docs.withColumn("_made", made)
+    return out.withColumns({k: F.col("_made")[k] for k in STATISTICS}).drop("_made")
 
 
 #: Ratios that decision lists may test, each per word, character or line.
