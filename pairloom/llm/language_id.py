@@ -33,6 +33,8 @@ from .words import buffers, chunks
 ORDER = 3
 #: Bound on training documents for each language.
 DOCS = 300
+#: More languages than this are an error: a table of them goes to every task.
+MAX_LANGUAGES = 1_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -43,11 +45,14 @@ def fold(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, most: int = DOCS) -> DataFrame:
     """(lang, text): at most `most` rows of each language, by hash of doc_id, of folds other than 1."""
     own = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1)).where(F.col("text") != "")
-    # a first cut by language counts, so that no window holds a whole language
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # a first cut by language counts, so that no window holds a whole language and few texts are shuffled
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    table = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, _n long")
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.least(F.lit(1.0), (F.lit(2.0 * most) + 50) / F.col("_n")) * (1 << 30)
-    near = own.select("doc_id", "lang", "text").join(counts, "lang").where(mark <= share)
+    near = own.select("doc_id", "lang", "text").join(F.broadcast(table), "lang").where(mark <= share)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.crc32(F.col("text").cast("binary"))))
     return near.withColumn("_r", rank).where(F.col("_r") <= most).select("lang", "text")
 

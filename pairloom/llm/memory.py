@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -13,7 +12,6 @@ BATCH_ROWS = 1_000
 
 
 def tidy() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -32,6 +32,8 @@ from .store import materialize
 #: A source table up to this many rows is broadcast; a larger one is joined by a salted key.
 BROADCAST_SOURCES = 20_000
 SALTS = 32
+#: Mean slots of the mix that one task makes.
+TASK_SLOTS = 50_000
 #: Mean rows of a bucket, over all sources.
 BUCKET_ROWS = 20_000
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -185,7 +187,9 @@ def slots(spark, plan: Plan) -> DataFrame:
     # runs of a few thousand slots, so that one row's explosion is bounded and dealt out
     step = 4096
     runs = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("run"))
-    runs = runs.repartition(F.col("shard"), F.col("source_no"), F.col("run"))
+    # a stated number: by its few bytes the table would be put into one task, which then makes all slots
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(plan.slots) // TASK_SLOTS)
+    runs = runs.repartition(tasks, F.col("shard"), F.col("source_no"), F.col("run"))
     one = runs.select("*", F.explode(F.sequence(F.col("run") * step, F.least(F.col("n"), (F.col("run") + 1) * step) - 1)).alias("i"))
     k = F.col("before") + F.col("i")
     one = one.withColumns({"pass": F.floor(k / F.col("blocks")), "within": k % F.col("blocks"), "slot": F.col("first") + F.col("i")})
@@ -214,7 +218,8 @@ def mix(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 7, weig
     times_taken = slots(docs.sparkSession, plan).groupBy("source_no", "block_no").agg(F.count(F.lit(1)).alias("times"))
     placed = place(keys, plan)
     own = ["row_id", "doc_id", "size", "source", "source_size", "target"]
-    joined = pieces(placed.where("size > 0"), plan).join(times_taken, ["source_no", "block_no"], "left")
+    # the planner takes the slots for as small as what they are made from and would broadcast them
+    joined = pieces(placed.where("size > 0"), plan).join(times_taken.hint("merge"), ["source_no", "block_no"], "left")
     some = joined.groupBy(*own).agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
     none = _with_source(keys.where("size = 0"), plan, {"source_size": plan.sizes, "target": plan.targets}, F.col("source")).select(*own, F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none).drop("row_id")
@@ -236,7 +241,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     occurrence = F.row_number().over(W.partitionBy(*same).orderBy("row_id"))
     placed = place(keys.where("size > 0").withColumn("_nth", occurrence), plan)
     last = slots(docs.sparkSession, plan).join(F.broadcast(_inline(docs.sparkSession, list(enumerate(full)), "source_no long, pass long")), ["source_no", "pass"]).select("source_no", "block_no")
-    parts = pieces(placed, plan).join(last, ["source_no", "block_no"]).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
+    parts = pieces(placed, plan).join(last.hint("merge"), ["source_no", "block_no"]).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
     rows = placed.select("row_id", "_nth", "source_no", *same).join(parts, "row_id", "left")
     rows = rows.join(F.broadcast(_inline(docs.sparkSession, list(enumerate(full)), "source_no long, _full long")), "source_no").where("_full > 0 or _parts is not null")
     rows = rows.select(F.col("doc_id").alias("_id"), F.col("deal").alias("_deal"), F.col("size").alias("_size"), "_nth", "_full", "_parts")

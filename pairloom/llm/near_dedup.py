@@ -362,7 +362,7 @@ class _Join:
         near = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "n2", "wide", "wide2").mapInArrow(_star(WIDE), "a long, b long")
         near, _ = materialize(near, "near")
         x, y = sides("shingles")
-        judged = near.join(x, "a").join(y, "b").select("a", "b", "shingles", "shingles2").mapInArrow(_confirm, "a long, b long, linked boolean")
+        judged = near.join(x, "a").join(y, "b").select("a", "b", "shingles", "shingles2").mapInArrow(_tidied(_confirm), "a long, b long, linked boolean")
         return judged.where("linked").select("a", "b")
 
     def round(self, pairs: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -407,21 +407,21 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     # first round: a forest inside each node, or inside parts of a large one, which a star ties together
     members = crowded.join(sketch, "rep").withColumn("c", F.col("rep"))
     parts = members.withColumn("node", F.when(F.col("many") > LIMIT, F.xxhash64("node", _part(F.ceil(F.col("many") / LIMIT)))).otherwise(F.col("node")))
-    pairs = _listed(parts).mapInArrow(_compare(True), "a long, b long").union(_star_pairs(members.where(F.col("many") > LIMIT)))
+    pairs = _listed(parts).mapInArrow(_tidied(_compare(True)), "a long, b long").union(_star_pairs(members.where(F.col("many") > LIMIT)))
     found = join.round(pairs, None)
 
     # what still holds several components, down to small nodes and tiles
     leaves = _leaves(crowded, found, classes)
     members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
-    found = join.round(_listed(members).mapInArrow(_compare(True), "a long, b long"), found)
+    found = join.round(_listed(members).mapInArrow(_tidied(_compare(True)), "a long, b long"), found)
 
     # all that may still join two components, by the wider sketch
     members = _unsettled(_with_component(leaves, found)).join(sketch, "rep")
-    suspects, _ = materialize(_listed(members).mapInArrow(_suspects, "node long, rep long"), "suspects")
+    suspects, _ = materialize(_listed(members).mapInArrow(_tidied(_suspects), "node long, rep long"), "suspects")
     join.need(suspects.select("rep").distinct())
     wide = join.sets.select("rep", "n", F.col("wide").alias("bins"))
     members = _with_component(suspects, found).join(wide, "rep")
-    found = join.round(_listed(members).mapInArrow(_compare(False), "a long, b long"), found)
+    found = join.round(_listed(members).mapInArrow(_tidied(_compare(False)), "a long, b long"), found)
 
     own, _ = materialize(named.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "n_shingles", "rep"), "own")
     # classes that share a doc_id are linked without a comparison

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, seed: int = 0, lower: bool = Tru
     after[edges - 1] = True
     inside = ~space
     starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after)
-    up, down = _powers(1 << max(20, int(n).bit_length()))
+    up, down = _powers(1 << max(18, int(n).bit_length()))
     total = np.cumsum(byte_values(seed, lower)[raw] * up[:n], dtype=np.uint64)
     first = total[starts] - (byte_values(seed, lower)[raw[starts]] * up[starts])
     return mix((total[ends] - first) * down[starts]), np.searchsorted(starts, offsets)
