@@ -351,28 +351,32 @@ class _Join:
         fresh, _ = materialize(mine.mapInArrow(_tidied(_full_sets), SETS), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes that are linked, judged on the full sets of the texts."""
-        self.need(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    def confirmed(self, pairs: DataFrame, sketched: bool = False) -> DataFrame:
+        """Those of the pairs (a, b) of classes that are linked, judged on the full sets of the texts. sketched: their sets
+        are at hand and the wide sketches have been met already."""
+        if not sketched:
+            self.need(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
 
         def sides(*what: str) -> list[DataFrame]:
             return [self.sets.select(F.col("rep").alias(c), *[F.col(w).alias(w + t) for w in what]) for c, t in (("a", ""), ("b", "2"))]
 
-        x, y = sides("n", "wide")
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "n2", "wide", "wide2").mapInArrow(_star(WIDE), "a long, b long")
-        near, _ = materialize(near, "near")
+        near = pairs
+        if not sketched:
+            x, y = sides("n", "wide")
+            near = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "n2", "wide", "wide2").mapInArrow(_star(WIDE), "a long, b long")
+            near, _ = materialize(near, "near")
         x, y = sides("shingles")
         judged = near.join(x, "a").join(y, "b").select("a", "b", "shingles", "shingles2").mapInArrow(_tidied(_confirm), "a long, b long, linked boolean")
         return judged.where("linked").select("a", "b")
 
-    def round(self, pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+    def round(self, pairs: DataFrame, found: DataFrame | None, sketched: bool = False) -> DataFrame:
         """Confirm pairs that no round has judged yet; returns all components."""
         pairs = pairs.distinct()
         if self.judged is not None:
             pairs = pairs.join(self.judged, ["a", "b"], "left_anti")
         pairs, _ = materialize(pairs, "pairs")
         self.judged = pairs if self.judged is None else self.judged.union(pairs)
-        links, _ = materialize(self.confirmed(pairs), "confirmed")
+        links, _ = materialize(self.confirmed(pairs, sketched), "confirmed")
         if found is not None:
             if links.isEmpty():
                 return found
@@ -421,7 +425,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     join.need(suspects.select("rep").distinct())
     wide = join.sets.select("rep", "n", F.col("wide").alias("bins"))
     members = _with_component(suspects, found).join(wide, "rep")
-    found = join.round(_listed(members).mapInArrow(_tidied(_compare(False)), "a long, b long"), found)
+    found = join.round(_listed(members).mapInArrow(_tidied(_compare(False)), "a long, b long"), found, sketched=True)
 
     own, _ = materialize(named.join(classes.select(*same_set, "rep"), same_set).select("doc_id", "n_shingles", "rep"), "own")
     # classes that share a doc_id are linked without a comparison
