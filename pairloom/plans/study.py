@@ -423,14 +423,14 @@ WITH f AS (SELECT CASE WHEN l_suppkey % 10 < 6 THEN 'train' WHEN l_suppkey % 10
 tr AS (SELECT avg(t) AS m, avg(t - c) AS o FROM f WHERE split = 'train'),
 p AS (SELECT split, 'B0' AS system, c AS p, t FROM f UNION ALL SELECT split, 'B1', m, t FROM f, tr UNION ALL SELECT split, 'B2', c + o, t FROM f, tr),
 s AS (SELECT split, system, count(*) AS n, round(avg(abs(p - t)), 3) AS mae, round(median(abs(p - t)), 3) AS medae, round(sqrt(avg((p - t) ^ 2)), 3) AS rmse, avg(abs(p - t)) AS raw FROM p GROUP BY 1, 2)
-SELECT split, system, n, mae, medae, rmse, round(100 * (raw - b) / b, 1) AS mae_vs_b2_pct FROM s JOIN (SELECT split, raw AS b FROM s WHERE system = 'B2') USING (split)
+SELECT split, system, n, mae, medae, rmse, round_even(100 * (raw - b) / b, 2) AS mae_vs_b2_pct FROM s JOIN (SELECT split, raw AS b FROM s WHERE system = 'B2') USING (split)
 """)
 def st_baselines(spark, sf_dir):
     rows = systems.baselines(_frame(spark, sf_dir), [], "copy", "target")
     long = systems.long_systems(rows, ["split", "target"], ["B0", "B1", "B2"])
     scores = systems.error_metrics(long, ["split", "system"], "prediction", "target")
     out = systems.versus_baseline(scores, ["split"], "system", "mae", "B2")
-    return rounded(out, "mae", "medae", "rmse", places=3).select("split", "system", "n", "mae", "medae", "rmse", F.round("mae_vs_B2_pct", 1).alias("mae_vs_b2_pct"))
+    return rounded(out, "mae", "medae", "rmse", places=3).select("split", "system", "n", "mae", "medae", "rmse", F.col("mae_vs_B2_pct").alias("mae_vs_b2_pct"))
 
 
 @query()
