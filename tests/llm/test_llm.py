@@ -209,6 +209,31 @@ def test_resampling(spark, odd_docs, no_docs):
     assert {r.log_weight for r in flat.collect()} == {0.0}
 
 
+def test_recall_on_held_out_labels(spark):
+    """Good documents whose labels the fit has not seen are kept like those that it has, in each language."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0
+    judged, _ = quality_classifier.resample(docs, labels.where(~held))
+    rows = judged.join(labels.where(held).select("doc_id", "quality"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        good = [r.kept for r in rows if r.quality == 1 and r.lang == lang]
+        assert len(good) > 50 and np.mean(good) > 0.95, (lang, np.mean(good))
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.1
+
+
+def test_weights_leave_own_fold_out(spark, sf001):
+    docs = sf001.limit(60).select("text")
+    models = quality_classifier.fold_models(docs)
+    folds = docs.withColumn("fold", quality_classifier.fold_of(F.col("text")))
+    for k in range(quality_classifier.FOLDS):
+        assert (models[k] == quality_classifier.model(folds.where(F.col("fold") != k).select("text"))).all()
+    ratios = np.random.default_rng(3).normal(size=models.shape)
+    for r in folds.withColumn("w", quality_classifier.log_weight(F.col("text"), ratios, 100)).collect():
+        one = quality_classifier.model(spark.createDataFrame([(r.text,)], "text string"))
+        assert r.w == pytest.approx((one * ratios[r.fold]).sum() * min(1, 100 / max(one.sum(), 1)), abs=1e-5)
+
+
 def test_weights_by_hand(spark, sf001):
     docs = sf001.limit(40)
     target = quality_classifier.model(docs.limit(10).select("text"))
