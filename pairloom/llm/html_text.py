@@ -5,6 +5,9 @@ classifier over tags, class names, text and link density gives each block a cost
 capacities to the two terminals. Neighbours in page order, and blocks under one container, are tied by smoothness edges,
 stronger the closer they stand in the tree. The minimum cut, found by max-flow, parts content from boilerplate.
 
+Names and forms that speak against content cost a bounded amount, MARKED. The mark of an element that holds most of the
+page's text is void, and an article or main element below a mark is free of it where it holds the page's larger part.
+
 Blocks whose own costs outweigh all their edges keep their label in every minimum cut; they are settled first, and flow
 runs over what is left, so time grows with the page's length.
 
@@ -44,19 +47,23 @@ ENDS = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 #: Elements and roles that hold no article text.
-AWAY = frozenset("nav footer aside form button select menu dialog search fieldset".split())
-AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tooltip status".split())
+AWAY = frozenset("nav footer aside button select menu dialog search".split())
+#: Elements that rather hold no article text, but may wrap a page.
+MARKS = frozenset(["form", "fieldset"])
+AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar tooltip status".split())
 HOME = frozenset(["article", "main"])
 #: Parts of class and id names that speak against content, and for it.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner bottombar breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer form gdpr header legal links login masthead menu metanav modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup print promo promoted promotion rail reactions recommend recommended register related remark replies reply respond responses rss search share sharing shoutbox sidebar sidenav signin signup skip skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking warning widget widgets".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content copy entry hentry main page paragraph post prose story text".split())
+#: First parts of names that tell a page's layout, such as has-sidebar.
+LAYOUT = frozenset("has no not with without".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "away", "home", "good", "link")
+    __slots__ = ("tag", "parent", "depth", "away", "home", "good", "link", "named", "mark", "state")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -65,6 +72,8 @@ class Element:
         self.home = parent.home if parent else False
         self.good = parent.good if parent else False
         self.link = parent.link if parent else False
+        self.named = False  # by its own name against content
+        self.state: tuple[Element | None, bool] | None = None
         if tag == "a":
             self.link = True
         if tag in HOME:
@@ -73,23 +82,30 @@ class Element:
             self.away = True
         if attributes and not attributes.isspace():
             self._read(attributes)
+        #: the nearest element, itself included, that is marked against content
+        self.mark = self if tag in MARKS or (self.named and tag not in HOME) else parent.mark if parent else None
 
     def _read(self, attributes: str) -> None:
         names = []
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                names += NAME.findall(value)
+                for token in value.split():
+                    parts = NAME.findall(token)
+                    if len(parts) == 1 or (parts and parts[0].lower() not in LAYOUT):
+                        names += parts
+            elif key == "role" and value.lower() == "form":
+                self.named = True
             elif key == "role" and value.lower() in AWAY_ROLES:
                 self.away = True
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 self.away = True
-        if names and self.tag not in ("html", "body", "article", "main"):
+        if names and self.tag not in ("html", "body"):
             low = {x.lower() for x in names}
             # a heading or header of the article itself may be named so
             if (low - {"header"} if self.home or self.tag in HEADINGS else low) & BAD_NAMES:
-                self.away = True
-            elif low & GOOD_NAMES:
+                self.named = True
+            elif low & GOOD_NAMES and self.tag not in HOME:
                 self.good = True
 
 
@@ -186,13 +202,73 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def _marks(bs: list[Block]) -> list[Element]:
+    """All marks above the blocks, the deepest first."""
+    out = set()
+    for b in bs:
+        m = b.home.mark
+        while m is not None and m not in out:
+            out.add(m)
+            m = m.parent.mark
+    return sorted(out, key=lambda m: -m.depth)
+
+
+def settle(bs: list[Block]) -> None:
+    """Gives the blocks' elements and those above them their state: the outermost mark in force, and whether an article
+    or main element holds them."""
+    inside: dict[Element, int] = {}  # unlinked characters below each mark
+    lengths = [0 if b.home.away else max(len(b.text) - b.links, 0) for b in bs]
+    order = _marks(bs)
+
+    def gather(into: dict[Element, int], amounts: list[int]) -> None:
+        for b, n in zip(bs, amounts):
+            if b.home.mark is not None:
+                into[b.home.mark] = into.get(b.home.mark, 0) + n
+        for m in order:
+            if m.parent.mark is not None:
+                into[m.parent.mark] = into.get(m.parent.mark, 0) + into.get(m, 0)
+
+    gather(inside, lengths)
+    total = sum(lengths)
+    # the text of content elements under no mark but such as hold most of the page, and how much of it stands below each mark
+    likely = [n if (b.home.home or b.home.good) and (b.home.mark is None or 2 * inside[b.home.mark] > total) else 0 for b, n in zip(bs, lengths)]
+    held: dict[Element, int] = {}
+    gather(held, likely)
+    free = sum(likely)
+    for b in bs:
+        path, e = [], b.home
+        while e is not None and e.state is None:
+            path.append(e)
+            e = e.parent
+        mark, home = e.state if e is not None else (None, False)
+        for e in reversed(path):
+            if e.mark is e and mark is None and not (2 * inside[e] > total and 10 * (free - held[e]) < inside[e]):
+                mark = e
+            if e.tag in HOME:
+                if mark is not None and not e.named and inside[mark] > free - held[mark]:
+                    mark = None
+                home = home or mark is None
+            e.state = (mark, home)
+
+
+#: What a mark costs: more than a short advert inside an article has for it, less than its long prose.
+MARKED = 6.0
+
+
+def against(e: Element) -> bool:
+    return e.away or e.state[0] is not None
+
+
 def score(b: Block) -> float:
     """Over 0: rather content. Weights are fixed and apply to any page."""
     home = b.home
     if home.away:
         return -60.0
+    mark, held = home.state
     s = -0.6
-    if home.home:
+    if mark is not None:
+        s -= MARKED
+    if held:
         s += 4.0
     if home.good:
         s += 1.5
@@ -205,7 +281,7 @@ def score(b: Block) -> float:
         s += 0.6
     elif tag in HEADINGS:
         s += 0.4
-    elif tag == "li" and not home.home:
+    elif tag == "li" and not held:
         s -= 0.4
     if b.text[0] == "©" or "©" in b.text[:40]:
         s -= 3.0
@@ -235,11 +311,11 @@ def edges(bs: list[Block]) -> tuple[list[tuple[int, int, float]], int]:
                 y = y.parent
             steps += 1
         # between an element that holds no article text and one that may, the tree already draws the line
-        out.append((i, i + 1, 1.2 / (1 + steps) * (LOOSE if bs[i].home.away != bs[i + 1].home.away else 1)))
+        out.append((i, i + 1, 1.2 / (1 + steps) * (LOOSE if against(bs[i].home) != against(bs[i + 1].home) else 1)))
     for i, e in enumerate(above):
         if id(e) not in node_of:
             node_of[id(e)] = len(bs) + len(node_of)
-        out.append((i, node_of[id(e)], 0.5 * (LOOSE if bs[i].home.away else 1)))
+        out.append((i, node_of[id(e)], 0.5 * (LOOSE if against(bs[i].home) else 1)))
     return out, len(node_of)
 
 
@@ -322,6 +398,7 @@ def main_text(html: str | None) -> str:
     bs = blocks(html)
     if not bs:
         return ""
+    settle(bs)
     ties, extra = edges(bs)
     label = minimum_cut([score(b) for b in bs] + [0.0] * extra, ties)
     return "\n".join(b.text for b, keep in zip(bs, label) if keep)

@@ -108,6 +108,22 @@ def test_html():
     assert html_text.main_text("<article><p>a</div></b><p>b<!-- open") == "a\nb"
 
 
+def test_html_layout_names():
+    """Wrappers named for a layout, and a form around the page, don't take the article away."""
+    story = "<p>A large storm hit the coast on Monday and left many homes without power.</p><p>It was the third storm this year, said the mayor of the town.</p>"
+    text = "A large storm hit the coast on Monday and left many homes without power.\nIt was the third storm this year, said the mayor of the town."
+    side = '<div class="sidebar"><p>Popular: this and that, too.</p></div><div class="related"><article><p>Another storm, last year.</p></article></div>'
+    for wrapper in ('<div class="page has-sidebar">', '<div class="no-sidebar">', '<div class="hasSidebar">', '<div class="sidebar-layout">', '<form id="aspnetForm">', '<div class="print"><form>'):
+        for holder in ("article", "main"):
+            assert html_text.main_text(f"<body>{wrapper}<{holder}>{story}</{holder}>{side}</body>") == text, (wrapper, holder)
+    for wrapper in ('<form id="aspnetForm">', '<div class="page has-sidebar">', '<div class="links-layout">'):
+        assert html_text.main_text(f"<body>{wrapper}<div>{story}</div></body>") == text, wrapper
+    comments = '<section id="comments"><article class="comment"><p>' + "I think this is great news for everyone who lives there. " * 20 + "</p></article></section>"
+    assert html_text.main_text(f"<body><article>{story}</article>{comments}</body>") == text
+    deep = '<div class="ad">' * 3_000 + f"<article>{story}</article>"
+    assert html_text.main_text(deep) == text
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(3)
     for _ in range(60):
