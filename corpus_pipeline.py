@@ -18,7 +18,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: what base rules or the learned decision list reject goes."""
-    learned = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # the classifier leaves hardly a bad row to learn from: the list is learned on the table that the pipeline began with
+    learned = quality_rules.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     whole = docs.select(F.struct("*").alias("_doc"), "text")
     return quality_rules.kept_only(quality_rules.apply(whole, learned)).select("_doc.*")
 

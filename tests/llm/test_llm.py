@@ -559,6 +559,20 @@ def test_pipeline(spark):
             assert Counter(r.decoded_sha256 for r in rows) == text
 
 
+def test_pipeline_rules_learn(spark, monkeypatch):
+    """The rules stage has a list of its own, though the classifier has taken the labelled bad documents away."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    left = docs.join(labels.where("quality = 0"), "doc_id", "left_anti")
+    lists, fit = [], quality_rules.fit
+    monkeypatch.setattr(quality_rules, "fit", lambda *a, **k: lists.append(fit(*a, **k)) or lists[-1])
+    out = corpus_pipeline.rules(spark, left, sf)
+    assert len(lists) == 1 and lists[0].rules
+    assert out.columns == left.columns and out.join(left, "doc_id", "left_anti").isEmpty()
+
+
 def test_registered():
     import __spark_entry__ as entry
 
