@@ -219,7 +219,11 @@ def markdown(df: DataFrame, most: int = 1_000) -> str:
 
 
 def latex(df: DataFrame, most: int = 1_000) -> str:
-    rows = [[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)).replace("_", r"\_") for v in r] for r in df.limit(most).collect()]
+    """As markdown, with as many rows refused."""
+    got = df.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError("too many rows for a report table")
+    rows = [[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)).replace("_", r"\_") for v in r] for r in got]
     head = [c.replace("_", r"\_") for c in df.columns]
     return "\n".join([r"\begin{tabular}{" + "l" * len(head) + "}", *[" & ".join(r) + r" \\" for r in [head, *rows]], r"\end{tabular}"])
 

@@ -64,6 +64,12 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "report" / "t.md")).count() == 4
 
 
+def test_latex_refuses_long_tables(spark):
+    assert len(tables.latex(spark.range(3), most=3).splitlines()) == 6
+    with pytest.raises(ValueError):
+        tables.latex(spark.range(4), most=3)
+
+
 def test_sound(spark, tmp_path):
     x = np.sin(np.arange(800) / 9) / 2
     (tmp_path / "EN_1.wav").write_bytes(audio.encode_pcm16(np.stack([x, -x]), 8000))
