@@ -145,3 +145,21 @@ WITH RECURSIVE w AS (
 )
 SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN r USING (doc_id) GROUP BY 1, 2
 """
+
+
+#: For pages like those of the test tables, whose one article holds nothing but its text: what stands there, read by patterns.
+ORACLES["op3_html_text"] = r"""
+WITH inner_ AS (
+  SELECT page_id, url, unnest(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<(/?p|/?h1)>')) AS part,
+         generate_subscripts(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<(/?p|/?h1)>'), 1) AS k FROM pages
+), plain AS (
+  SELECT page_id, url, k, regexp_replace(part, '<[^>]*>', ' ', 'g') AS part FROM inner_
+), decoded AS (
+  SELECT page_id, url, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(part, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS part FROM plain
+), clean AS (
+  SELECT page_id, url, k, trim(regexp_replace(part, '[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\p{Z}]+', ' ', 'g')) AS part FROM decoded
+), texts AS (
+  SELECT page_id, any_value(url) AS url, coalesce(string_agg(part, chr(10) ORDER BY k) FILTER (WHERE part <> ''), '') AS text FROM clean GROUP BY page_id
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""

@@ -124,6 +124,73 @@ def test_html_layout_names():
     assert html_text.main_text(deep) == text
 
 
+SOUP = """<body><div id="top"><a href="/">Home</a></div><div><a href="/a">News of the day</a></div><div><a href="/b">All that you need.</a></div>
+<div id="x1"><h2>Storm hits coast</h2><div>A large storm hit the coast on Monday and left many homes without power until the evening.</div><div>Why</div>
+<div>It was the third storm this year, said the mayor of the town, and the worst one by far that anyone could think of.</div><div>So</div><div>Nobody
+was hurt in the storm, but the road along the sea will stay shut for a week or two, and the trains are late as well.</div></div>
+<div><div><a href="/c">More</a></div><div><a href="/d">Most read</a></div></div></body>"""
+
+
+def test_edges_decide(monkeypatch):
+    """Short blocks between long ones are content by their ties alone; max-flow runs on every page with text."""
+    runs, flow = [], html_text._max_flow
+    monkeypatch.setattr(html_text, "_max_flow", lambda *a: runs.append(1) or flow(*a))
+    bs = html_text.blocks(SOUP)
+    own = [html_text.score(b) > 0 for b in bs if html_text.settle(bs) is None]
+    cut = html_text.labels(bs)
+    texts = [b.text for b in bs]
+    assert {t for t, alone, tied in zip(texts, own, cut) if tied and not alone} == {"Storm hits coast", "Why", "So"} and len(runs) == 1
+    assert [t for t, tied in zip(texts, cut) if not tied] == ["Home", "News of the day", "All that you need.", "More", "Most read"]
+    monkeypatch.setattr(html_text, "edges", lambda bs: ([], 0))
+    assert html_text.labels(bs) == own != cut
+
+
+def test_html_wrappers():
+    story = "<p>A large storm hit the coast on Monday and left many homes without power.</p>"
+    text = "A large storm hit the coast on Monday and left many homes without power."
+    for page in ('<div class="layout has-sidebar"><article>%s</article></div>', '<div class="with-sidebar"><main>%s</main></div>', '<div id="page" class="no-sidebar">%s</div>', '<div class="search-page"><article>%s</article></div>', '<article><div class="print-area">%s</div></article>', '<form id="aspnetForm"><article>%s</article></form>'):
+        assert html_text.main_text(page % story) == text, page
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi></math> be it.</p></article>") == "Let x be it."
+    long = "I think this is great news for everyone who lives there, and for all of their friends as well. " * 5
+    assert html_text.main_text(f'<article>{story * 3}<div id="comments"><p>{long}</p><p>{long}</p></div></article>') == "\n".join([text] * 3)
+
+
+def test_html_tables():
+    assert [b.text for b in html_text.blocks("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table>f<dl><dt>g<dd>h</dl><ul><li>i<li>j<ol><li>k</ol>l</ul>")] == list("abcdefghijkl")
+    assert [b.text for b in html_text.blocks("a < b<p title='x > y'>c</p><a href=it's>d</a><!-- > -->e<p class=\"z\"q>f<?g>h</ x>i")] == ["a < b", "c", "de", "fhi"]
+    assert [b.text for b in html_text.blocks("<p>a<svg/>b<iframe>c<script>d</script>e<p>f<style>g")] == ["a b c e", "f"]
+
+
+def test_html_hostile():
+    """Time grows with the page's length, whatever is left open or closed twice."""
+    import time
+
+    n = 20_000
+    pages = ["<div>" * n + "</section>" * n, "<" + "a" * 50 * n, "<a" * n, "<iframe>" * n, "<!" * n, '<a b="' * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<b><div>" + "<i>" * n + "</b>x" * n, "<b>" * n + "x<p>y</p>" * n, "<article>" + "<p>word " * n, "<table>" * n + "<td>x" * n, "<!--" * n, "&" * n + "&amp" * n]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 10, page[:40]
+
+
+def test_learned_weights(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = html_text.sample(pages)
+    weights = html_text.learn(got)
+    assert len(got) == pages.select("html").distinct().count() and weights != html_text.PRIOR and html_text.learn(reversed(got)) == pytest.approx(weights, abs=1e-5)
+    assert html_text.learn([]) == html_text.learn(["<p>nothing says what this is"]) == html_text.PRIOR
+    # a block of either kind is on the right side by what its text says
+    said = [(sum(w * x for w, x in zip(weights, html_text.features(b))) > 0, not html_text.against(b.home)) for h in got for bs in [html_text.blocks(h)] if html_text.settle(bs) is None for b in bs if html_text.against(b.home) or b.home.state[1]]
+    assert np.mean([x == y for x, y in said]) > 0.8
+
+
+def test_pages_match_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    rel = con.sql(llm.ORACLES["op3_html_text"])
+    assert sorted(map(tuple, llm.QUERIES["op3_html_text"](spark, SF).select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -139,7 +206,9 @@ def test_minimum_cut_is_least():
 
 
 def test_pages(spark):
-    df = spark.createDataFrame([(1, None, None), (2, "u", PAGE), (None, "u", ""), (3, "u", "<article>" + "<p>word " * 20_000)], PAGES).withColumn("text", F.lit("clash"))
+    odd = [(1, None, None), (2, "u", PAGE), (2, "u", PAGE), (None, "u", ""), (3, "u", "<article>" + "<p>word " * 20_000)]
+    df = spark.createDataFrame(odd, PAGES).withColumns({c: F.lit("clash") for c in ("text", "_mark", "_html")})
+    assert sorted(r.page_id or 0 for r in html_text.extract(df).collect()) == [0, 1, 2, 2, 3]
     got = {r.page_id: r for r in html_text.extract(df).collect()}
     assert got[1].text == "" and got[1].n_chars == 0 and got[2].text == TEXT and got[2].n_chars == len(TEXT) and got[3].n_chars == 20_000 * 5 - 1
     assert html_text.extract(df.limit(0)).count() == 0
