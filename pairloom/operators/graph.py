@@ -1,7 +1,8 @@
 """Connected components, leak-free partitioning by component, and the checks that go with them.
 
-Components run as alternating large-star and small-star steps: each is a minimum by node and a join that links anew, so
-no task holds a component or a list of neighbours. Steps are written to the shared folder, so a lost executor costs a
+Components run as alternating large-star and small-star steps: each is a minimum by node, summed before the shuffle, and a
+join that links anew, in which a node with very many neighbours is broadcast instead of shuffled; so no task holds a
+component or a list of neighbours. Steps are written to the shared folder, so a lost executor costs a
 re-read; the loop ends when a step changes nothing, after about log2 of the largest component.
 """
 
@@ -13,27 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize, release
+from .hot import join_sums
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """large: link each node's larger neighbours to the least of it and its neighbours; small: the same for smaller ones."""
+def _star(edges: DataFrame, large: bool, many: int) -> DataFrame:
+    """large: link each node's larger neighbours to the least of it and its neighbours; small, where all v are below u:
+    the node and its other neighbours to the least one. many: rows of edges, about."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    joined = join_sums(both, least, "u", "_n", 2 * many if large else many)
     if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.least("_m", "u").alias("v"))
     else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("_m", "u").alias("m"))
-    joined = both.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        out = joined.select(F.when(F.col("v") == F.col("_m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("_m").alias("v"))
+    return out.distinct()
 
 
 def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
-    """(node, component): every node of a link between two different nodes, with the smallest node it reaches."""
+    """(node, component): every node of a link between two different nodes, with the smallest node it reaches. Rows with a
+    null node are no links."""
     spark = links.sparkSession
-    start = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+    start = links.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     edges, path = materialize(start, "links")
 
     def mark(df: DataFrame) -> tuple:
@@ -41,7 +42,7 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        step, step_path = materialize(_star(_star(edges, True), False), "links")
+        step, step_path = materialize(_star(_star(edges, True, seen[0]), False, seen[0]), "links")
         release(spark, path)
         edges, path, now = step, step_path, mark(step)
         if now == seen:

@@ -285,3 +285,21 @@ def test_stream_upsert(spark, tmp_path):
     got = sorted((r.k, r.status) for r in spark.read.parquet(out).collect())
     assert got == [(1, "failed"), (1, "failed"), (2, "ok"), (3, "failed")]
     assert jobs.latest(spark.read.parquet(out), ["k"]).count() == 3
+
+
+def test_join_sums(spark):
+    """Hot and cold keys alike get their sums; keys without a row in sums go."""
+    from pairloom.operators import hot
+
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 64), (3, 65), (4, 1), (None, 3)) for i in range(n)], "k long, i long")
+    sums = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k is null or k <> 4")
+    got = hot.join_sums(rows, sums, "k", "n", 633).groupBy("k", "n").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 500, 500), (2, 64, 64), (3, 65, 65)]
+    assert hot.hot_above(10**12) == 10**8 and hot.join_sums(rows.limit(0), sums.limit(0), "k", "n", 0).count() == 0
+
+
+def test_components_of_stars_and_chains(spark):
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (2000, None), (None, 2001)] + [(7, 0)] * 3
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1101)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
