@@ -553,6 +553,37 @@ def test_near_duplicates_odd(spark, odd_docs, no_docs):
     assert {r.component_id for r in near_dedup.near_duplicates(two).collect()} == {1}
 
 
+def thue_morse(n):
+    """Two different words whose polynomials are equal modulo 2^64 for any odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    pairs = [thue_morse(n) for n in (3, 6, 9, 10, 12)]
+    h, _ = words(*(lambda raw: (raw, np.array([0, len(raw)])))(np.frombuffer(" ".join(w for p in pairs for w in p).encode(), np.uint8)))
+    assert len(set(h.tolist())) == 2 * len(pairs)
+    x, y = pairs[2]
+    docs = spark.createDataFrame([(1, x, "", "", 0), (2, y, "", "", 0), (3, x + " z", "", "", 0)], DOCS)
+    assert {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()} == {1: (1, True), 2: (2, True), 3: (3, True)}
+
+
+def test_words_of_any_length():
+    rng = np.random.default_rng(5)
+    some = ["".join(rng.choice(list("abAB"), int(n))) for n in rng.integers(1, 80, 3000)] + ["a" * n for n in range(1, 200)]
+    texts = [" ".join(some[:1500]), "\t".join(some[1500:]), ""]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for lower in (True, False):
+        h, to = words(raw, at, 3, lower)
+        of = {}
+        for w, v in zip(some, h.tolist(), strict=True):
+            of.setdefault(w.lower() if lower else w, set()).add(v)
+        assert to.tolist() == [0, 1500, len(some), len(some)] and all(len(v) == 1 for v in of.values()) and len({next(iter(v)) for v in of.values()}) == len(of)
+
+
 def test_words():
     texts = ["a  b\tC", "", " ", "é ñ", "a"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
