@@ -24,8 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 CONTRACT_RULES = [url_filter.Rule(p, v) for p, v in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
-#: Literals that stand for unwanted sites where no rule speaks.
-FALLBACK_RULES = [url_filter.Rule(f"*{p}*", "block") for p in ("spam-farm.", "cheap-pills.", "casino", "free-download", "/login", "/cart/")]
+#: Where no rule speaks: words of gambling, medicine and download spam, of advertising and tracking hosts, and pages without
+#: prose of their own, each as it stands between separators.
+FALLBACK_RULES = [
+    url_filter.Rule(f"^{w}^", "block")
+    for w in "casino poker betting jackpot pills viagra cialis pharmacy escort porn xxx warez torrent crack keygen free-download spam-farm ads adserver doubleclick track tracker tracking clickbank affiliate payday-loan login signin signup wp-login wp-admin cart checkout basket search tag tags feed rss print".split()
+]
 
 
 @_query
@@ -46,11 +50,11 @@ WITH cut AS (
   SELECT page_id, arg_max(pattern, length(pattern)) AS rule, arg_max(verdict, length(pattern)) AS verdict
   FROM parts JOIN rules ON (host = host_of OR ends_with(host, '.' || host_of)) AND starts_with(path, start)
   GROUP BY page_id
-), others(pattern) AS (
-  VALUES ('spam-farm.'), ('cheap-pills.'), ('casino'), ('free-download'), ('/login'), ('/cart/')
+), others AS (
+  SELECT unnest(string_split('""" + " ".join(r.pattern[1:-1] for r in FALLBACK_RULES) + r"""', ' ')) AS word
 ), literal AS (
-  SELECT page_id, max_by('*' || pattern || '*', (length(pattern), pattern = 'spam-farm.')) AS pattern_rule
-  FROM parts JOIN others ON contains(lower(host || path), pattern) GROUP BY page_id
+  SELECT page_id, arg_min('^' || word || '^', (-length(word), word)) AS pattern_rule
+  FROM parts JOIN others ON contains(lower(host || path), word) AND regexp_matches(lower(host || path), '(^|[^a-z0-9])' || word || '($|[^a-z0-9])') GROUP BY page_id
 )
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN l.pattern_rule IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        CASE WHEN f.rule IS NULL THEN l.pattern_rule END AS pattern_rule

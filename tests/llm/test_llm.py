@@ -49,9 +49,48 @@ def test_urls_odd(spark):
 
 
 def test_index_by_rarest_token():
-    rules = [url_filter.Rule("example.org/en/1", "block"), url_filter.Rule("*-x-*", "block"), url_filter.Rule("*ads*", "block")]
-    buckets, bare = url_filter.rule_index(rules, {"example": 9, "org": 9, "en": 2})
-    assert sorted(t for b in buckets for t, _ in b) == ["en", "x"] and bare == [2]
+    rules = [url_filter.Rule("example.org/en/1", "block"), url_filter.Rule("*-x-*", "block"), url_filter.Rule("*ads*", "block"), url_filter.Rule("^Ads^", "block"), url_filter.Rule("*free-download*", "block")]
+    assert [r.keys() for r in rules] == [["example", "org", "en"], ["x"], ["~ads"], ["ads"], ["~" + "free-download"[i : i + 3] for i in range(11)]]
+    assert url_filter.filed(rules, {"example": 9, "org": 9, "en": 2, "~fre": 4, "~ee-": 1, "~e-d": 1, **{"~" + "free-download"[i : i + 3]: 2 for i in range(4, 11)}, "~ree": 3}) == ["en", "x", "~ads", "ads", "~e-d"]
+
+
+def fits(rule, host, path):
+    where, literal = host + path, rule.literal
+    if rule.pattern[0] == "*":
+        return literal.translate(LOWER) in where.translate(LOWER)
+    if rule.pattern[0] == "^":
+        return re.search(rf"(?<![a-z0-9]){re.escape(literal.translate(LOWER))}(?![a-z0-9])", where.translate(LOWER)) is not None
+    of, _, start = rule.pattern.partition("/")
+    return (host == of or host.endswith("." + of)) and path.startswith("/" + start)
+
+
+def test_many_rules_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "ads", "my-ads", "x1", "shop", "news", "été", "casino", "ad"]
+    pick = lambda: names[int(rng.integers(len(names)))]
+    rules = [url_filter.Rule(f"{pick()}.{pick()}/{pick()}", "block") for _ in range(40)] + [url_filter.Rule(f"{pick()}/", "allow") for _ in range(9)]
+    others = [url_filter.Rule(f"*{x}*", "block") for x in ("sino", "ads/", "-ADS", "été/n")] + [url_filter.Rule(f"^{x}^", "block") for x in ("ads", "shop", "my-ads", "x1/ad")]
+    many = [url_filter.Rule(f"host{i}.test/p{i}/", "block") for i in range(3000)]
+    urls = [f"http://{pick()}.{pick()}.{pick().upper()}/{pick()}{pick()}/{pick().title()}?q=ads" for _ in range(300)] + ["http://" + "x" * 100_000 + ".casino/", "http://www.host17.test/p17/x", "http://host17.test/p1/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:5])], "page_id long, url string")
+    got = url_filter.url_filter(df, rules + many + rules[:3], others).collect()
+    assert len(got) == len(urls) + 5 and {r.verdict for r in got} == {"allow", "block"} and sum(r.pattern_rule is not None for r in got) > 20
+    best = lambda rs, r: min((x for x in rs if fits(x, r.host, r.path)), key=lambda x: (-len(x.pattern), x.pattern), default=None)
+    for r in got:
+        first, second = best(rules + many, r), best(others, r)
+        assert (r.rule, r.pattern_rule) == (first and first.pattern, None if first else second and second.pattern) and r.verdict == (first or second or rules[-1]).verdict
+
+
+def test_only_fetched_rules_run(spark):
+    """A rule whose regular expression fails when it runs does no harm where no URL holds its key."""
+    broken = type("Broken", (url_filter.Rule,), {"regex": property(lambda self: "(")})("^never-seen^", "block")
+    df = spark.createDataFrame([(1, "http://a.org/ads/")], "page_id long, url string")
+    assert url_filter.url_filter(df, [], [broken, url_filter.Rule("*ds/*", "block")]).first().pattern_rule == "*ds/*"
+    with pytest.raises(Exception, match="(?i)regex|pattern"):
+        url_filter.url_filter(spark.createDataFrame([(1, "http://a.org/seen/never")], "page_id long, url string"), [], [broken]).collect()
+    for bad in ("*a*", "**", "^-^", "x" * 500):
+        with pytest.raises(ValueError, match="needs"):
+            url_filter.url_filter(df, [url_filter.Rule(bad, "block")])
 
 
 # -- 2 -----------------------------------------------------------------------
