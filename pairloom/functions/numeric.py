@@ -13,6 +13,15 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The characters that count as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: str | Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(col(text), F.lit(WHITE))
+
+
 def let(value: str | Column, body) -> Column:
     """body(value), with the value computed once however often the body names it. Higher-order functions evaluate what is
     written in their lambda again for each element; a lambda's own variable is not."""
@@ -49,7 +58,7 @@ def plausible_hz(hz: str | Column, low: float = F0_LOW, high: float = F0_HIGH) -
 
 def truth(x: str | Column) -> Column:
     """'true' in any letter case."""
-    return F.lower(F.trim(col(x).cast("string"))) == "true"
+    return F.lower(strip(col(x).cast("string"))) == "true"
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -26,13 +26,19 @@ def plain_nfkd(texts: pd.Series) -> pd.Series:
 
 def register(spark: SparkSession) -> list[str]:
     """Register word_edits, plain_nfkd and contour for SQL; returns their names."""
-    from ..operators.text_metrics import word_edits
+    from ..operators.text_metrics import MAX_KINDS
     from .arrays import resample_contour
 
-    made = {"word_edits": word_edits, "plain_nfkd": plain_nfkd, "contour": resample_contour}
+    made = {"plain_nfkd": plain_nfkd, "contour": resample_contour}
     for name, f in made.items():
         spark.udf.register(name, f)
-    return sorted(made)
+    # as operators.text_metrics.word_edits: each kind of word is a character beyond the first 65,536
+    at = "(65536 + array_position(kinds, w))"
+    code = f"4034953344L + (({at} >> 18) << 24) + ((({at} >> 12) & 63) << 16) + ((({at} >> 6) & 63) << 8) + ({at} & 63)"
+    one = lambda words: f"array_join(transform({words}, w -> CAST(unhex(hex({code})) AS STRING)), '')"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION word_edits(r ARRAY<STRING>, h ARRAY<STRING>) RETURNS INT RETURN
+        SELECT if(size(kinds) > {MAX_KINDS}, CAST(raise_error('too many kinds of words') AS INT), levenshtein({one("r")}, {one("h")})) FROM (SELECT array_distinct(concat(r, h)) AS kinds)""")
+    return sorted([*made, "word_edits"])
 
 
 def views(spark: SparkSession, folder: str, *names: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import clamp, col
+from .numeric import clamp, col, strip
 
 # Words that negate, by language; speech rates by output language (spoken characters a second, and
 # characters a voiced second); languages by code; directions.
@@ -31,7 +31,7 @@ def lookup(key: Column, table: dict, default) -> Column:
 
 def first_nonblank(*columns: str | Column) -> Column:
     """The first of the columns that isn't blank, trimmed; '' if all are."""
-    return F.coalesce(*[F.nullif(F.trim(col(c)), F.lit("")) for c in columns], F.lit(""))
+    return F.coalesce(*[F.nullif(strip(col(c)), F.lit("")) for c in columns], F.lit(""))
 
 
 def direction_part(direction: str | Column, i: int) -> Column:
@@ -56,7 +56,7 @@ _MARKED, _BASE = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaa
 def plain_text(text: str | Column) -> Column:
     """Lower case without accents or punctuation, single spaces. Covers the letters of Western European languages."""
     low = F.translate(F.lower(F.coalesce(col(text), F.lit(""))), _MARKED, _BASE)
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def take_cer(reference: str | Column, heard: str | Column) -> Column:
@@ -92,14 +92,14 @@ def numbers(text: str | Column) -> Column:
 
 
 def _ends_sentence(text: Column) -> Column:
-    return F.regexp_like(F.rtrim(text), F.lit(r"[.?!…]$"))
+    return F.regexp_like(strip(text), F.lit(r"[.?!…]$"))
 
 
 def keeps_markers(candidate: str | Column, reference: str | Column, language: str | Column) -> Column:
     """No fewer questions or negations, no lost number, a sentence's end kept; a blank candidate keeps nothing."""
     c, r = col(candidate), col(reference)
     return (
-        (F.trim(c) != "")
+        (strip(c) != "")
         & (F.regexp_count(c, F.lit(r"\?")) >= F.regexp_count(r, F.lit(r"\?")))
         & (negations(c, language) >= negations(r, language))
         & (F.size(F.array_except(numbers(r), numbers(c))) == 0)
@@ -110,8 +110,8 @@ def keeps_markers(candidate: str | Column, reference: str | Column, language: st
 def sentences(text: str | Column) -> Column:
     """Sentences of a line: after ? ! … and white space, or after a full stop before a capital or an opening mark. A last
     single word without an end joins the sentence before it."""
-    body = F.trim(F.coalesce(col(text), F.lit("")))
-    parts = F.filter(F.transform(F.split(body, r"(?<=[?!…])\s+|(?<=\.)\s+(?=[A-ZÁÉÍÓÚÑÜ¿¡])"), F.trim), lambda p: p != "")
+    body = strip(F.coalesce(col(text), F.lit("")))
+    parts = F.filter(F.transform(F.split(body, r"(?<=[?!…])\s+|(?<=\.)\s+(?=[A-ZÁÉÍÓÚÑÜ¿¡])"), strip), lambda p: p != "")
     last, n = F.get(parts, F.size(parts) - 1), F.size(parts)
     rejoined = F.concat(F.slice(parts, 1, F.greatest(n - 2, F.lit(0))), F.array(F.concat_ws(" ", F.get(parts, n - 2), last)))
     loose = (n > 1) & (word_count(last) == 1) & ~_ends_sentence(last)
@@ -125,7 +125,7 @@ def speak_whole(text: str | Column) -> Column:
 
 def chunks_of(text: str | Column, most: int = 220) -> Column:
     """Sentences packed in order into chunks of at most `most` characters; a longer sentence is a chunk of its own."""
-    parts = F.filter(F.split(F.trim(F.coalesce(col(text), F.lit(""))), r"(?<=[.!?])\s+"), lambda p: p != "")
+    parts = F.filter(F.split(strip(F.coalesce(col(text), F.lit(""))), r"(?<=[.!?])\s+"), lambda p: p != "")
 
     def add(done: Column, part: Column) -> Column:
         last = F.get(done, F.size(done) - 1)
@@ -164,7 +164,7 @@ def check_language(detected: str | Column, confidence: str | Column, direction:
 
 
 def _host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(url), r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(strip(url), r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
 
 
 def public_url(url: str | Column) -> Column:
@@ -196,5 +196,5 @@ def failure_kind(message: str | Column) -> Column:
 
 def word_list(timings: str | Column) -> Column:
     """Timed words, trimmed, times to three places, empty ones gone."""
-    kept = F.transform(col(timings), lambda w: F.struct(F.trim(w["word"]).alias("word"), F.bround(w["start"], 3).alias("start"), F.bround(w["end"], 3).alias("end")))
+    kept = F.transform(col(timings), lambda w: F.struct(strip(w["word"]).alias("word"), F.bround(w["start"], 3).alias("start"), F.bround(w["end"], 3).alias("end")))
     return F.filter(kept, lambda w: w["word"] != "")

@@ -13,6 +13,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import strip
 from ..sources.store import materialize, release
 from .hot import join_sums
 
@@ -54,7 +55,7 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
 def speaker_components(pairs: DataFrame, a: str = "english_speaker_id", b: str = "spanish_speaker_id") -> DataFrame:
     """(speaker, component) over the speakers that pairs link; a blank speaker is an error."""
-    sure = [F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c)).otherwise(F.raise_error(F.lit("a pair lacks a speaker"))).alias(n) for c, n in ((a, "a"), (b, "b"))]
+    sure = [F.when(strip(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c)).otherwise(F.raise_error(F.lit("a pair lacks a speaker"))).alias(n) for c, n in ((a, "a"), (b, "b"))]
     links = pairs.select(*sure)
     found = components(links).select(F.col("node").alias("speaker"), "component")
     alone = links.select(F.explode(F.array("a", "b")).alias("speaker")).distinct().join(found, "speaker", "left_anti")

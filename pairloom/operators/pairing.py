@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import safe_div, safe_ln, seed31
+from ..functions.numeric import safe_div, safe_ln, seed31, strip
 from ..functions.text import first_nonblank
 
 _TEXTS = ("text", "transcript", "transcription", "orthography")
@@ -22,7 +22,7 @@ def link_pairs(fragments: DataFrame, audio: DataFrame) -> DataFrame:
     """
     lang = F.lower(F.col("lang_code")) if "lang_code" in fragments.columns else F.lower(F.substring("key", 1, 2))
     f = fragments.withColumn("_lang", lang)
-    own = f.select("key", "_lang", F.trim("trans_id").alias("_peer"))
+    own = f.select("key", "_lang", strip("trans_id").alias("_peer"))
     peer = f.select(F.col("key").alias("_peer"), F.col("_lang").alias("_peer_lang"))
     met = own.join(peer, "_peer").where(F.array_sort(F.array("_lang", "_peer_lang")) == F.array(F.lit("en"), F.lit("es")))
     english = F.when(F.col("_lang") == "en", F.col("key")).otherwise(F.col("_peer"))
@@ -67,7 +67,7 @@ def merge_transcripts(manifest: DataFrame, transcripts: DataFrame) -> DataFrame:
 def pair_key(df: DataFrame) -> Column:
     """pair_id under either of its names, trimmed."""
     have = [c for c in ("sample_id", "pair_id") if c in df.columns]
-    return F.trim(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in have], F.lit("")))
+    return strip(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in have], F.lit("")))
 
 
 def result_rows(manifest: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def result_rows(manifest: DataFrame) -> DataFrame:
 def training_pairs(manifest: DataFrame, split: str, direction: str) -> DataFrame:
     """(source, target) texts of a split in one direction; both sides must say something."""
     source, target = ("english_text", "spanish_text") if direction == "en-es" else ("spanish_text", "english_text")
-    return manifest.where((F.col("split") == split) & (F.trim(source) != "") & (F.trim(target) != "")).select("pair_id", F.trim(source).alias("source"), F.trim(target).alias("target"))
+    return manifest.where((F.col("split") == split) & (strip(source) != "") & (strip(target) != "")).select("pair_id", strip(source).alias("source"), strip(target).alias("target"))
 
 
 #: Measures that are predicted, and those that predict.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import F0_HIGH, F0_LOW, col, finite, guarded_corr, pearson, semitones
+from ..functions.numeric import F0_HIGH, F0_LOW, col, finite, guarded_corr, pearson, semitones, strip
 from ..sources.tables import PROSODY, SCORES
 
 
@@ -97,7 +97,7 @@ def corpus_counts(manifest: DataFrame) -> DataFrame:
     """Pairs, same- and cross-speaker pairs, texts, and the distinct speakers of both columns together."""
     speakers = manifest.select(F.explode(F.array("english_speaker_id", "spanish_speaker_id")).alias("s")).where("s <> ''").agg(F.countDistinct("s").alias("speakers"))
     same = F.coalesce(F.col("same_speaker_pair"), F.lit(False))
-    rows = manifest.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(same).alias("same_speaker"), F.count_if(~same).alias("different_speaker"), F.count_if(F.trim("english_text") != "").alias("english_texts"), F.count_if(F.trim("spanish_text") != "").alias("spanish_texts"))
+    rows = manifest.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(same).alias("same_speaker"), F.count_if(~same).alias("different_speaker"), F.count_if(strip("english_text") != "").alias("english_texts"), F.count_if(strip("spanish_text") != "").alias("spanish_texts"))
     return rows.join(speakers, F.lit(True))
 
 

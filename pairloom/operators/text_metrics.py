@@ -14,29 +14,35 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.numeric import let, strip
 from ..functions.text import error_words
 
 BLEU_ORDER, CHRF_ORDER, BETA = 4, 6, 2
 
 
-def edits(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, with one row of memory."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
+#: Words of different kinds that a pair of texts may have: as many as there are characters beyond the first 65,536.
+MAX_KINDS = (1 << 20) - 1
 
 
-@F.pandas_udf(T.IntegerType())
-def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Edits between two arrays of words."""
-    return pd.Series([edits(list(a if a is not None else []), list(b if b is not None else [])) for a, b in zip(reference, hypothesis, strict=True)])
+def _character(number: Column) -> Column:
+    """The character 65,536 places after `number`, from its four bytes in UTF-8."""
+    at = number + 0x10000
+    byte = lambda shift: F.shiftright(at, shift).bitwiseAND(63)
+    code = F.lit(0xF0808080).cast("long") + F.shiftright(at, 18).cast("long") * (1 << 24) + byte(12).cast("long") * (1 << 16) + byte(6).cast("long") * (1 << 8) + byte(0).cast("long")
+    return F.unhex(F.hex(code)).cast("string")
+
+
+def word_edits(reference: Column, hypothesis: Column) -> Column:
+    """Edits between two arrays of words: each kind of word becomes a character, and strings have a distance."""
+
+    def distance(p: Column) -> Column:
+        one = lambda words: F.array_join(F.transform(words, lambda w: _character(F.array_position(p["kinds"], w).cast("int"))), "")
+        return F.when(F.size(p["kinds"]) > MAX_KINDS, F.raise_error(F.lit("too many kinds of words")).cast("int")).otherwise(F.levenshtein(one(p["r"]), one(p["h"])))
+
+    none = F.array().cast("array<string>")
+    r, h = F.coalesce(reference, none), F.coalesce(hypothesis, none)
+    return let(F.struct(r.alias("r"), h.alias("h"), F.array_distinct(F.concat(r, h)).alias("kinds")), distance)
 
 
 def with_word_errors(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -44,7 +50,7 @@ def with_word_errors(rows: DataFrame, reference: str, hypothesis: str) -> DataFr
     nothing heard is an error rate of 1."""
     ref, hyp = error_words(reference), error_words(hypothesis)
     out = rows.withColumns({"edits": word_edits(ref, hyp), "reference_words": F.size(ref)})
-    blank = F.trim(F.coalesce(F.col(reference), F.lit(""))) == ""
+    blank = strip(F.coalesce(F.col(reference), F.lit(""))) == ""
     return out.withColumn("wer", F.when(~blank, F.try_divide(F.col("edits").cast("double"), F.col("reference_words").cast("double"))))
 
 
@@ -164,8 +170,8 @@ def error_rates(results: DataFrame) -> DataFrame:
     good = results.where(F.col("status") == "ok")
 
     def rate(reference: str, hypothesis: str, name: str) -> DataFrame:
-        have = good.where(F.trim(F.coalesce(F.col(reference), F.lit(""))) != "")
-        empty = F.count_if(F.trim(F.coalesce(F.col(hypothesis), F.lit(""))) == "")
+        have = good.where(strip(F.coalesce(F.col(reference), F.lit(""))) != "")
+        empty = F.count_if(strip(F.coalesce(F.col(hypothesis), F.lit(""))) == "")
         return with_word_errors(have, reference, hypothesis).groupBy("direction").agg(corpus_wer().alias(f"corpus_{name}_wer"), F.count(F.lit(1)).alias(f"{name}_count"), empty.alias(f"{name}_empty_count"))
 
     return rate("source_reference_text", "asr_text", "asr").join(rate("translated_text", "tts_asr_text", "tts"), "direction", "full")

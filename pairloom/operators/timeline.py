@@ -43,13 +43,16 @@ def first_labels(rows: DataFrame, job: str, order: str, label: str) -> DataFrame
 def fill_nearest(rows: DataFrame, job: str, order: str, start: str, end: str, label: str) -> DataFrame:
     """rows whose missing label is taken from the segment of the job that is nearest in time; of equals, the first.
 
-    A segment's gap to another is 0 where they overlap. Only jobs with a missing label meet themselves.
+    A segment's gap to another is 0 where they overlap. Only the segments with a missing label meet their job's others. Repeated
+    rows stay as they are; a missing label stays missing where its job has no known one.
     """
     known = rows.where(F.col(label).isNotNull()).select(F.col(job).alias("_j"), F.col(order).alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_l"))
     gap = F.greatest(F.lit(0.0), F.col("_s") - F.col(end), F.col(start) - F.col("_e"))
     open_ = rows.where(F.col(label).isNull())
-    near = open_.join(known, F.col(job) == F.col("_j"), "left").groupBy(*[F.col(c) for c in rows.columns]).agg(F.min_by("_l", F.struct(gap, F.col("_o"))).alias("_near"))
-    return rows.where(F.col(label).isNotNull()).unionByName(near.withColumn(label, F.col("_near")).drop("_near"))
+    marked = open_.withColumn("_all", F.struct("*")).withColumn("_row", F.monotonically_increasing_id())
+    near = marked.join(known, F.col(job) == F.col("_j"), "left").groupBy("_row").agg(F.first("_all").alias("_all"), F.min_by("_l", F.struct(gap, F.col("_o"))).alias("_near"))
+    filled = near.select(*[(F.col("_near") if c == label else F.col("_all")[c]).alias(c) for c in rows.columns])
+    return rows.where(F.col(label).isNotNull()).unionByName(filled)
 
 
 def stab(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, bucket: float) -> DataFrame:

@@ -505,18 +505,37 @@ def str_seed(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "lang").select("doc_id", numeric.seed31("doc_id", "lang").alias("seed"))
 
 
-@query()
+@query(r"""
+WITH b AS (SELECT conv_id, turn, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM conversations),
+c AS (SELECT conv_id, turn, body, regexp_replace(regexp_replace(body, '([?!…])\s+', '\1' || chr(1), 'g'), '(\.)\s+([A-ZÁÉÍÓÚÑÜ¿¡])', '\1' || chr(1) || '\2', 'g') AS cut FROM b),
+p AS (SELECT conv_id, turn, body, list_filter(list_transform(string_split(cut, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM c),
+q AS (SELECT conv_id, turn, CASE WHEN len(p) = 0 THEN [body] WHEN len(p) > 1 AND NOT regexp_matches(p[-1], '\s') AND NOT regexp_matches(p[-1], '[.?!…]$')
+  THEN list_append(p[1:len(p) - 2], p[-2] || ' ' || p[-1]) ELSE p END AS p FROM p)
+SELECT conv_id, turn, unnest(range(len(p)))::INTEGER AS pos, unnest(p) AS sentence FROM q
+""")
 def str_sentences(spark, sf_dir):
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     return c.select("conv_id", "turn", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
 
 
-@query()
+_WORDS = r"regexp_extract_all(regexp_replace(lower({}), '\p{{P}}', '', 'g'), '\S+')"
+
+
+# the rows of the edit table are folded over the reference's words; what comes from the left is a running minimum
+@query(f"""
+WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+p AS (SELECT role, ref, {_WORDS.format("ref")} AS r, {_WORDS.format("text")} AS h FROM t WHERE ref IS NOT NULL),
+d AS (SELECT role, ref, len(r) AS n, list_reduce(list_prepend(range(len(h) + 1), list_transform(r, lambda w: list_transform(h, lambda x: CAST(x <> w AS BIGINT)))),
+  lambda row, cost: list_transform([list_transform(range(len(row)), lambda j: CASE WHEN j = 0 THEN row[1] + 1 ELSE least(row[j + 1] + 1, row[j] + cost[j]) END - j)],
+    lambda b: list_transform(range(len(b)), lambda j: j + list_min(b[1:j + 1])))[1])[-1] AS edits FROM p)
+SELECT role, round(sum(edits) / sum(n), 6) AS corpus_wer, round(avg(CASE WHEN trim(ref) <> '' AND n > 0 THEN edits / n END), 6) AS mean_wer, count(*) AS n FROM d GROUP BY 1
+""")
 def str_word_error(spark, sf_dir):
     from pyspark.sql import Window as W
 
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("ref", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("ref is not null")
-    return text_metrics.with_word_errors(c, "ref", "text").groupBy("role").agg(text_metrics.corpus_wer().alias("corpus_wer"), F.avg("wer").alias("mean_wer"), F.count(F.lit(1)).alias("n"))
+    out = text_metrics.with_word_errors(c, "ref", "text").groupBy("role").agg(text_metrics.corpus_wer().alias("corpus_wer"), F.avg("wer").alias("mean_wer"), F.count(F.lit(1)).alias("n"))
+    return rounded(out, "corpus_wer", "mean_wer")
 
 
 @query()
@@ -535,6 +554,42 @@ def str_public_url(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", text.public_url("url").alias("public"))
 
 
+@query(f"""
+WITH t AS (SELECT conv_id, turn, {_ASCII.format('text')} AS text, lag({_ASCII.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+p AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(ref), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS r, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS h FROM t WHERE ref IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN r = '' THEN 0.0 ELSE levenshtein(r, CASE WHEN h = '' THEN '-' ELSE h END) / length(r) END, 6) AS cer FROM p
+""")
+def str_take_cer(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("hyp", F.regexp_replace("text", "[^ -~]", ""))
+    c = c.withColumn("ref", F.lag("hyp").over(W.partitionBy("conv_id").orderBy("turn"))).where("ref is not null")
+    return c.select("conv_id", "turn", F.round(text.take_cer("ref", "hyp"), 6).alias("cer"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS parsed, CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN round(value / (event_id % 5), 6) END AS ratio,
+       CASE WHEN event_id % 7 <> 0 AND value > 0 THEN round(12 * log2(value / 100), 6) END AS semitones, CASE WHEN event_id % 7 <> 0 AND value > 0 THEN round(ln(value), 6) END AS logged,
+       CASE WHEN event_id % 7 <> 0 THEN value BETWEEN 60 AND 400 END AS plausible, event_id % 3 = 0 AS flag, least(greatest(value, 10), 40) AS clamped,
+       least(4, greatest(1.5, 0.3 * value)) AS least_seconds FROM events
+""")
+def fil_guards(spark, sf_dir):
+    """Parsing and guards: text that is no number, division by zero, logarithms of what has none, truth in any dress."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events", "event_id", "value").withColumn("raw", F.when(k % 7 == 0, F.element_at(F.array(F.lit("nan"), F.lit(""), F.lit("inf"), F.lit("x")), (k % 4 + 1).cast("int"))).otherwise(F.col("value").cast("string")))
+    e = e.withColumns({"x": numeric.finite("raw"), "said": F.when(k % 3 == 0, F.lit("\tTrue ")).otherwise("no")})
+    logs = {"ratio": numeric.safe_div("x", (k % 5).cast("double")), "semitones": numeric.semitones("x"), "logged": numeric.safe_ln("x")}
+    return e.select("event_id", F.col("x").alias("parsed"), *[F.round(v, 6).alias(n) for n, v in logs.items()], numeric.plausible_hz("x").alias("plausible"), numeric.truth("said").alias("flag"), numeric.clamp(F.col("value"), 10.0, 40.0).alias("clamped"), numeric.min_speaker_seconds("value").alias("least_seconds"))
+
+
+@query("""
+SELECT l_orderkey, l_returnflag AS text, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2
+""")
+def set_unique_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumnsRenamed({"l_returnflag": "text", "l_linenumber": "pos"})
+    return selection.unique_candidates(rows, ["l_orderkey"], "text", "pos").select("l_orderkey", "text", "pos")
+
+
 # -- selection ---------------------------------------------------------------
 
 
@@ -587,7 +642,12 @@ def st_cosine(spark, sf_dir):
     return e.join(nxt, "vec_id").select("vec_id", F.round(numeric.cosine("embedding", "other"), 6).alias("similarity"))
 
 
-@query()
+@query("""
+WITH u AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), c AS (SELECT label AS l, list(x ORDER BY i) AS c FROM m GROUP BY 1),
+s AS (SELECT vec_id, label, l, list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM embeddings, c)
+SELECT vec_id, label, arg_min(l, (-round(s, 12), l)) AS label_near, round(arg_min(s, (-round(s, 12), l)), 6) AS similarity FROM s GROUP BY 1, 2
+""")
 def gr_nearest_centroid(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     centres = e.groupBy("label").agg(clusters.mean_vector("embedding", 64).alias("centre"))
@@ -632,7 +692,9 @@ def arr_contours(spark, sf_dir):
     return out.select("vec_id", F.round("c.level", 6).alias("level"), F.round("c.ratio", 6).alias("ratio"), F.round(arrays.array_corr("c.shape", back), 6).alias("reconstruction_r"))
 
 
-@query()
+@query("""
+SELECT vec_id, CAST(round_even(len(embedding) * 8 * 0.8, 0) AS INTEGER) AS n FROM embeddings
+""")
 def arr_time_scale(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     sound = F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double")), 8))
@@ -650,8 +712,13 @@ def stream_windows(spark, sf_dir):
     return rounded(jobs.windowed(table(spark, sf_dir, "events"), "ts", ["event_type"], "value"), "total", places=4).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, s
+""")
 def stream_sessions(spark, sf_dir):
-    return jobs.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
+    out = jobs.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 

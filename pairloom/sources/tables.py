@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import finite
+from ..functions.numeric import finite, strip
 from ..functions.text import first_nonblank
 
 
@@ -57,7 +57,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     for f in schema.fields:
         have = F.col(f.name) if f.name in df.columns else F.lit("")
         if isinstance(f.dataType, T.BooleanType):
-            have = F.lower(F.trim(have.cast("string"))) == "true"
+            have = F.lower(strip(have.cast("string"))) == "true"
         elif isinstance(f.dataType, T.DoubleType):
             have = finite(have)
         elif isinstance(f.dataType, (T.LongType, T.IntegerType)):
@@ -163,7 +163,7 @@ def fragments(rows: DataFrame) -> DataFrame:
 
 
 def _stem(path: Column) -> Column:
-    name = F.element_at(F.split(F.trim(path), "/"), -1)
+    name = F.element_at(F.split(strip(path), "/"), -1)
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
@@ -171,7 +171,7 @@ def transcripts_csv(rows: DataFrame) -> DataFrame:
     """(audio_id, text, repaired) of a table with columns audio_id and text."""
     if not {"audio_id", "text"} <= set(rows.columns):
         raise ValueError("a transcript table needs the columns audio_id and text")
-    return rows.select(_stem(F.col("audio_id")).alias("audio_id"), F.trim("text").alias("text"), F.lit(False).alias("repaired"))
+    return rows.select(_stem(F.col("audio_id")).alias("audio_id"), strip("text").alias("text"), F.lit(False).alias("repaired"))
 
 
 def transcripts_piped(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -181,7 +181,7 @@ def transcripts_piped(lines: DataFrame, line: str = "value") -> DataFrame:
     tail = F.get(parts, F.lit(1))
     repaired = (F.size(parts) == 2) & (F.length(tail) >= 2)
     text = F.when(F.size(parts) == 3, F.get(parts, F.lit(2))).when(repaired, tail.substr(F.lit(3), F.length(tail))).otherwise(F.raise_error(F.concat(F.lit("Expected file|annotator|text: "), F.col(line))))
-    rows = lines.select(_stem(F.get(parts, F.lit(0))).alias("audio_id"), F.trim(text).alias("text"), repaired.alias("repaired"), F.monotonically_increasing_id().alias("_at"))
+    rows = lines.select(_stem(F.get(parts, F.lit(0))).alias("audio_id"), strip(text).alias("text"), repaired.alias("repaired"), F.monotonically_increasing_id().alias("_at"))
     return rows.groupBy("audio_id").agg(F.max_by("text", "_at").alias("text"), F.max_by("repaired", "_at").alias("repaired"))
 
 

@@ -141,3 +141,27 @@ def test_spans(spark):
     df = spark.createDataFrame([([(1000, 3000), (9000, 10000)], 20000)], "s array<struct<start:long,end:long>>, n long")
     r = df.select(arrays.voiced_seconds("s", 8000), arrays.tightened_seconds("s", "n", 8000)).first()
     assert r[0] == 3000 / 8000 and r[1] == pytest.approx((400 + 2000 + 2000 + 1000 + 800) / 8000)
+
+
+def test_white_space_is_blank(spark):
+    df = spark.createDataFrame([("\t \n", "x 　\x1f", " y")], "a string, b string, c string")
+    row = df.select(text.first_nonblank("a", "b", "c").alias("v"), text.first_nonblank("a").alias("w"), numeric.truth(F.lit("\ttrue\n")).alias("t")).first()
+    assert (row.v, row.w, row.t) == ("x", "", True)
+
+
+def test_word_edits(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    r = random.Random(1)
+    some = [f"w{i}" for i in range(12)] + ["é", "a", "😀"]
+    rows = [tuple([r.choice(some) for _ in range(r.randrange(20))] for _ in range(2)) for _ in range(200)] + [([f"q{i}" for i in range(2000)], [f"q{i}" for i in range(1, 2000)]), (None, ["a"]), ([], [])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", text_metrics.word_edits(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(x.d == edits(x.a or [], x.b or []) for x in got) and len(got) == 203

@@ -225,13 +225,82 @@ def test_voices():
     voice = lambda v: v + rng.normal(size=64) * 0.3
     assert clusters.cluster_voices([voice(a), voice(b), voice(a), voice(b)], [3.0] * 4) == [0, 1, 0, 1]
     assert clusters.cluster_voices([voice(a) for _ in range(5)], [3.0] * 5) == [0] * 5
-    assert clusters.cluster_voices([voice(a), None, voice(b), voice(a)], [3.0, 0.3, 3.0, 3.0], [0, 3.1, 8, 12]) == [0, 0, 1, 0]
+    # by the job's own rule 3 of 9.3 seconds are a voice, by the fixed 4 seconds they are not
+    four, seconds, starts = [voice(a), None, voice(b), voice(a)], [3.0, 0.3, 3.0, 3.0], [0, 3.1, 8, 12]
+    assert clusters.cluster_voices(four, seconds, starts, speaker_s=clusters.job_speaker_seconds(seconds)) == [0, 0, 1, 0]
+    assert clusters.cluster_voices(four, seconds, starts) == [0, 0, 0, 0]
     assert len(set(clusters.cluster_voices([voice(a) for _ in range(4)], [3.0] * 4, speakers=2))) == 2
     assert clusters.cluster_voices([], []) == [] and clusters.cluster_voices([None, None], [1.0, 1.0]) == [0, 0]
     # a short outlier without enough speech joins a group, and a quiet group folds into its nearest
     assert clusters.cluster_voices([voice(a), voice(a), voice(b)], [5.0, 5.0, 1.0]) == [0, 0, 0]
 
 
+def test_voice_cases():
+    rng = np.random.default_rng(11)
+
+    def say(k, n, noise=0.75):
+        return [np.eye(64)[k] + noise * rng.standard_normal(64) / 8 for _ in range(n)]
+
+    a, b, c = say(0, 6), say(1, 6), say(2, 3)
+    assert clusters.cluster_voices(a[:5] + b[:5] + [a[5], b[5]], [3.0] * 10 + [0.6, 0.6]) == [0] * 5 + [1] * 5 + [0, 1]
+    # a voice that only ever says short things is one of its own if they add up
+    assert clusters.cluster_voices(a + b + c, [3.0] * 12 + [1.4] * 3, speaker_s=4.0) == [0] * 6 + [1] * 6 + [2] * 3
+    assert set(clusters.cluster_voices(a + b + c, [3.0] * 12 + [0.4] * 3, speaker_s=4.0)) == {0, 1}
+    # two tight halves that average linkage to a wide distance has joined are split
+    assert clusters.cluster_voices(say(0, 4, 0.3) + say(1, 4, 0.3), [3.0] * 8, distance=1.5) == [0] * 4 + [1] * 4
+    # without a vector: the segment nearest in time, by gaps
+    got = clusters.cluster_voices([*a[:3], None, *b[:3]], [2.5, 6.0, 8.0, 0.35, 3.5, 3.0, 3.0], [0.0, 3.0, 10.5, 18.5, 21.5, 25.5, 29.0])
+    assert got[3] == got[2] != got[4]
+    assert len(set(clusters.cluster_voices(a, [3.0] * 6, speakers=9))) == 6
+    with pytest.raises(ValueError, match="at most"):
+        clusters.cluster_voices([None] * 10_001, [1.0] * 10_001)
+
+
+def brute_linkage(unit, distance, most):
+    sets = [[i] for i in range(len(unit))]
+    while len(sets) > most:
+        far = {(x, y): 1 - np.mean([unit[i] @ unit[j] for i in sets[x] for j in sets[y]]) for x in range(len(sets)) for y in range(x)}
+        (x, y), d = min(far.items(), key=lambda p: p[1])
+        if distance is not None and d > distance:
+            break
+        sets[y] += sets.pop(x)
+    return {frozenset(s) for s in sets}
+
+
+def test_linkage_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        unit = clusters.to_unit(rng.normal(size=(int(rng.integers(1, 14)), 6)))
+        for distance, most in ((0.75, 1), (0.9, 1), (None, 3)):
+            own = clusters.linked(unit, distance, most)
+            assert {frozenset(np.flatnonzero(own == k).tolist()) for k in set(own.tolist())} == brute_linkage(unit, distance, most)
+
+
+def test_voices_by_job(spark):
+    """Each job's own speech sets the least of a voice, and its rows may be many and repeated."""
+    rng = np.random.default_rng(3)
+    say = lambda k: (np.eye(16)[k] + 0.05 * rng.standard_normal(16)).tolist()
+    rows = [(1, i, say(k), s, 9.0 * i) for i, (k, s) in enumerate([(0, 3.0), (1, 3.0), (0, 3.0)])] + [(2, i, say(k), s, 9.0 * i) for i, (k, s) in enumerate([(0, 9.0), (1, 3.0), (0, 9.0)])]
+    df = spark.createDataFrame(rows, "job long, idx long, embedding array<double>, seconds double, start double")
+    got = {(r.job, r.idx): r.label for r in clusters.cluster_jobs(df).collect()}
+    assert [got[1, i] for i in range(3)] == [0, 1, 0] and [got[2, i] for i in range(3)] == [0, 0, 0]
+    assert clusters.cluster_jobs(df.limit(0)).count() == 0
+
+
+def test_nearest_centroids(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [-1.0, -2.0])], "k int, v array<double>")
+    c = spark.createDataFrame([("b", [2.0, 0.0]), ("a", [0.0, 3.0]), ("z", [0.0, 0.0]), ("n", None)], "l string, c array<double>")
+    got = {r.k: (r.label_near, r.similarity and round(r.similarity, 6)) for r in clusters.nearest_centroid(v, c, "k", "v", "l", "c").collect()}
+    assert got == {1: ("b", 1.0), 2: ("a", 0.707107), 3: (None, None), 4: (None, None), 5: (None, None), 6: ("b", -0.447214)}
+    assert {r.label_near for r in clusters.nearest_centroid(v, c.limit(0), "k", "v", "l", "c").collect()} == {None}
+
+
+def test_fill_nearest_keeps_rows(spark):
+    rows = [("j", 0, 0.0, 1.0, 7), ("j", 1, 1.5, 2.0, None), ("j", 1, 1.5, 2.0, None), ("j", 2, 2.6, 4.0, 8), ("k", 0, 0.0, 1.0, None)]
+    got = timeline.fill_nearest(spark.createDataFrame(rows, "job string, idx int, s double, e double, l int"), "job", "idx", "s", "e", "l").collect()
+    assert sorted((r.job, r.idx, r.l) for r in got if r.l is not None) == [("j", 0, 7), ("j", 1, 7), ("j", 1, 7), ("j", 2, 8)] and len(got) == 5
+
+
 def test_resume(spark):
     todo = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     done = spark.createDataFrame([(1, "ok"), (2, "failed")], "k int, status string")
