@@ -82,6 +82,16 @@ def train_all(rows: DataFrame, by: str, features: str, targets: str, seeds: list
     return many.groupBy("k", "seed").applyInPandas(run, "k string, seed int, weights array<double>, best_loss double, epochs int").withColumnRenamed("k", by)
 
 
+def overfits(x: np.ndarray, y: np.ndarray, examples: int = 8, seed: int = 0, epochs: int = 4_000, enough: float = 1e-3, **options) -> dict[str, object]:
+    """Whether a network can learn the first few examples by heart, without decay: a network that can't is fed wrongly. The
+    loss is in units of the targets' variance."""
+    few, want = x[:examples], y[:examples]
+    scale = max(float(want.var()), 1e-12)
+    net, losses = train(few, want, few, want, seed=seed, epochs=epochs, decay=0.0, **options)
+    loss = float(((net(few) - want) ** 2).mean()) / scale
+    return {"examples": len(few), "epochs": len(losses), "loss": loss, "passed": loss < enough}
+
+
 def restored(weights: list[float], inputs: int, outputs: int) -> Network:
     hidden = (len(weights) - outputs) // (inputs + 1 + outputs)
     net, at = Network(inputs, hidden, outputs, 0), 0

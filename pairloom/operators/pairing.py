@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div, safe_ln, seed31, strip
-from ..functions.text import first_nonblank
+from ..functions.text import first_nonblank, word_count
 
 _TEXTS = ("text", "transcript", "transcription", "orthography")
 
@@ -149,7 +149,32 @@ def measure_once(rows: DataFrame, roles: list[str], key: str, measure) -> DataFr
     return rows.join(wide.select(key, *[F.col(r).alias(f"value_{r}") for r in roles]), key, "left")
 
 
-def leak_check(mt: DataFrame, synthesis: DataFrame) -> DataFrame:
-    """(pair_id, direction, source_words, mt_words, reference_words) of the rows that both tables have."""
-    right = synthesis.withColumn("pair_id", pair_key(synthesis)).select("pair_id", "direction", "reference_words")
-    return mt.select("pair_id", "direction", "source_words", "mt_words").join(right, ["pair_id", "direction"])
+def leak_check(mt: DataFrame, synthesis: DataFrame, order: str | None = None) -> DataFrame:
+    """(pair_id, direction, mt_words, pipeline_words, human_words) of the rows that both tables have, words counted from
+    synthesis's translated_text and translation_reference; rows where either is blank are left out. Of several rows of mt
+    with one key the last by `order` counts."""
+    words = {"pipeline_words": "translated_text", "human_words": "translation_reference"}
+    right = synthesis.withColumn("pair_id", pair_key(synthesis)).select("pair_id", "direction", *[word_count(t).alias(n) for n, t in words.items()])
+    left = lookup(mt, ["pair_id", "direction"], "mt_words", order).select("pair_id", "direction", F.col("mt_words").cast("int").alias("mt_words"))
+    return left.join(right.where("pipeline_words > 0 and human_words > 0"), ["pair_id", "direction"])
+
+
+def leak_numbers(rows: DataFrame) -> DataFrame:
+    """One row: n, and r and mean absolute difference of the word counts of leak_check, two by two."""
+    pairs = {"mt_vs_pipeline": ("mt_words", "pipeline_words"), "mt_vs_human": ("mt_words", "human_words"), "pipeline_vs_human": ("pipeline_words", "human_words")}
+    made = [x for n, (a, b) in pairs.items() for x in (F.corr(a, b).alias(f"{n}_r"), F.avg(F.abs(F.col(a) - F.col(b))).alias(f"{n}_mae_words"))]
+    return rows.agg(F.count(F.lit(1)).alias("n"), *made)
+
+
+def lookup(rows: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """One value for each key: blank ones skipped, of several the last by `order` (by value, where there is none)."""
+    have = rows.where(strip(F.col(value).cast("string")) != "")
+    return have.groupBy(*keys).agg(F.max_by(value, F.struct(order or value, value)).alias(value))
+
+
+def deploy_lookup(results: DataFrame, direction: str, order: str | None = None) -> DataFrame:
+    """(pair_id, asr_words, mt_words) of a direction's rows whose recognised and translated texts both aren't blank; of
+    several rows of a pair the last by `order`."""
+    own = results.where(F.col("direction") == direction).withColumn("pair_id", pair_key(results))
+    both = own.select("pair_id", F.struct(word_count("asr_text").alias("asr_words"), word_count("translated_text").alias("mt_words")).alias("w"), *([F.col(order).alias("_o")] if order else [])).where("w.asr_words > 0 and w.mt_words > 0")
+    return both.groupBy("pair_id").agg(F.max_by("w", F.struct(*(["_o"] if order else []), "w")).alias("w")).select("pair_id", "w.*")

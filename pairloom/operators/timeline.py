@@ -100,3 +100,15 @@ def envelope(segments: Column, samples: int, rate: int, under: float = 0.25, bed
     """Gain of each sample: `under` below any segment, else `bed`. segments: array of struct (start, end), seconds."""
     inside = lambda i: F.exists(segments, lambda s: (i >= F.greatest(F.lit(0), (s["start"] * rate).cast("int"))) & (i < (s["end"] * rate).cast("int")))
     return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.when(inside(i), F.lit(under)).otherwise(F.lit(bed)))
+
+
+def placed_track(lines: DataFrame, job: str, offset: str, piece: str, rate: int) -> DataFrame:
+    """(job, second, samples): the sum of all pieces of a job's track, an array for each second that any piece reaches."""
+    parts = lines.select(F.col(job).alias("job"), F.col(offset).alias("_o"), F.posexplode(piece).alias("_i", "_v"))
+    at = F.col("_o") + F.col("_i")
+    sums = parts.groupBy("job", F.floor(at / rate).alias("second"), F.pmod(at, F.lit(rate)).cast("int").alias("_k")).agg(F.sum("_v").alias("_v"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(rate - 1)), lambda k: F.struct(k.alias("_k"), F.lit(0.0).alias("_v")))
+    rows = sums.groupBy("job", "second").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_s"))
+    missing = lambda s: F.array_except(F.transform(every, lambda x: x["_k"]), F.transform(s, lambda x: x["_k"]))
+    whole = F.array_sort(F.concat("_s", F.transform(missing(F.col("_s")), lambda k: F.struct(k.alias("_k"), F.lit(0.0).alias("_v")))))
+    return rows.select("job", "second", F.transform(whole, lambda x: x["_v"]).alias("samples"))

@@ -46,10 +46,19 @@ def test_report(spark):
 
 
 def test_leakcheck(spark):
-    mt = spark.createDataFrame([("a", "en-es", 3, 4), ("b", "en-es", 5, 5), ("c", "en-es", 7, 8)], "pair_id string, direction string, source_words int, mt_words int")
-    syn = spark.createDataFrame([(" a ", "", "en-es", 4), ("", "b", "en-es", 6), ("c", "", "en-es", 8)], "sample_id string, pair_id string, direction string, reference_words int")
-    got = {r.pair: r for r in api.leakcheck(mt, syn).collect()}
-    assert got["mt_words/reference_words"].mae == pytest.approx(1 / 3) and got["source_words/mt_words"].n == 3
+    mt = spark.createDataFrame([("a", "en-es", "9", 0), ("a", "en-es", "4", 1), ("b", "en-es", "5", 0), ("c", "en-es", "8", 0), ("d", "en-es", "3", 0), ("e", "en-es", " ", 0)], "pair_id string, direction string, mt_words string, line int")
+    say = lambda n: " ".join(["w"] * n)
+    syn = spark.createDataFrame([(" a ", "", say(4), say(5)), ("", "b", say(6), say(5)), ("c", "", say(8), say(8)), ("d", "", "\t ", say(3)), ("e", "", say(1), say(1)), ("x", "", "a", "a")], "sample_id string, pair_id string, translated_text string, translation_reference string").withColumn("direction", F.lit("en-es"))
+    from pairloom.operators import pairing
+
+    rows = {r.pair_id: (r.mt_words, r.pipeline_words, r.human_words) for r in pairing.leak_check(mt, syn, "line").collect()}
+    assert rows == {"a": (4, 4, 5), "b": (5, 6, 5), "c": (8, 8, 8)}
+    got = api.leakcheck(mt.where("line = 1 or pair_id <> 'a'"), syn).first()
+    assert got.n == 3 and got.mt_vs_pipeline_mae_words == got.mt_vs_human_mae_words == pytest.approx(1 / 3) and got.mt_vs_pipeline_r == pytest.approx(np.corrcoef([4, 5, 8], [4, 6, 8])[0, 1])
+    with pytest.raises(Exception, match="no overlapping"):
+        api.leakcheck(mt.limit(0), syn).collect()
+    seen = syn.withColumns({"asr_text": F.lit("one two"), "k": F.lit(1)}).unionByName(syn.withColumns({"asr_text": F.lit("three"), "k": F.lit(2)}))
+    assert {r.pair_id: (r.asr_words, r.mt_words) for r in pairing.deploy_lookup(seen, "en-es", "k").collect()} == {"a": (1, 4), "b": (1, 6), "c": (1, 8), "e": (1, 1), "x": (1, 1)}
 
 
 def test_network(spark):
