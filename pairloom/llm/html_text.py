@@ -493,11 +493,11 @@ def main_text(html: str | None, weights: Sequence[float] = PRIOR) -> str:
 
 
 def sample(pages: DataFrame, html: str = "html") -> list[str]:
-    """At most TRAIN_PAGES pages of at most TRAIN_CHARS characters, those with the smallest hashes of their html."""
-    mark = F.xxhash64(F.col(html))
-    near = pages.where(F.length(html).between(1, TRAIN_CHARS)).select(mark.alias("_mark")).distinct().orderBy("_mark").limit(TRAIN_PAGES)
-    rows = pages.where(F.length(html).between(1, TRAIN_CHARS)).select(mark.alias("_mark"), F.col(html).alias("_html")).join(F.broadcast(near), "_mark")
-    return [r[0] for r in rows.groupBy("_mark").agg(F.first("_html").alias("_html")).orderBy("_mark").select("_html").collect()]
+    """At most TRAIN_PAGES pages of at most TRAIN_CHARS characters: pages are dealt to as many buckets by the hash of their
+    html, and the least hash of each bucket is taken, so the minima are summed before any shuffle."""
+    rows = pages.where(F.length(html).between(1, TRAIN_CHARS)).select(F.xxhash64(F.col(html)).alias("_mark"), F.col(html).alias("_html"))
+    least = rows.groupBy(F.pmod("_mark", F.lit(TRAIN_PAGES)).alias("_b")).agg(F.min("_mark").alias("_mark")).select("_mark")
+    return [r[0] for r in rows.join(F.broadcast(least), "_mark").groupBy("_mark").agg(F.first("_html").alias("_html")).orderBy("_mark").select("_html").collect()]
 
 
 def extract(pages: DataFrame, html: str = "html", weights: Sequence[float] | None = None) -> DataFrame:
