@@ -9,12 +9,15 @@ As counts are frozen, all code lengths that some language has seen are tabulated
 with gram (context and byte) as key; scoring a batch of texts is one vectorised lookup for each byte, and one more per
 shorter order for the few grams that no language has seen. Whole texts are scored; texts never leave their task.
 
-Training takes a bounded sample: of each language the DOCS documents with the smallest hash of doc_id among those that
-may be learned from, whole texts each. The tables go to the executors inside the function, their size bounded by that
-sample (all grams of DOCS texts for each language).
+Training takes a bounded sample: of each language the DOCS documents with the smallest hash of doc_id and text among those
+that may be learned from and have at most TEXT_BYTES bytes; longer ones are predicted, whole, but not learned from. The
+tables go to the executors inside the function, their size bounded by that sample: more than MAX_COSTS costs (grams times
+languages) are an error.
 
 Defined cases: a null text, or one without a letter, gives `und` with score 0. With no training rows every text gives
-`und`. Ties go to the first language in code-point order. A null doc_id is neither held out nor learned from.
+`und`. Ties go to the first language in code-point order. A null doc_id is neither held out nor learned from. Repeated rows
+are judged alike, and equal ones count as often as they come when learned from. An empty table gives an empty result. Only
+doc_id, text and (to learn) lang are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from .words import buffers, chunks
 ORDER = 3
 #: Bound on training documents for each language.
 DOCS = 300
+#: Longest text to learn from: with DOCS and MAX_LANGUAGES a bound on what comes to the driver.
+TEXT_BYTES = 100_000
+#: Costs that all tables together may hold, 1 GB as floats.
+MAX_COSTS = 250_000_000
 #: More languages than this are an error: a table of them goes to every task.
 MAX_LANGUAGES = 1_000
 
@@ -44,16 +51,17 @@ def fold(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, most: int = DOCS) -> DataFrame:
     """(lang, text): at most `most` rows of each language, by hash of doc_id, of folds other than 1."""
-    own = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1)).where(F.col("text") != "")
+    own = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1)).where(F.octet_length("text").between(1, TEXT_BYTES))
     # a first cut by language counts, so that no window holds a whole language and few texts are shuffled
     counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     table = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, _n long")
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.least(F.lit(1.0), (F.lit(2.0 * most) + 50) / F.col("_n")) * (1 << 30)
-    near = own.select("doc_id", "lang", "text").join(F.broadcast(table), "lang").where(mark <= share)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.crc32(F.col("text").cast("binary"))))
+    # the same hash thins and ranks; it holds the text, so rows that share a doc_id spread
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("_mark")
+    share = F.least(F.lit(1.0), (F.lit(2.0 * most) + 50) / F.col("_n")) * float((1 << 63) - 1)
+    near = own.select("doc_id", "lang", "text", mark).join(F.broadcast(table), "lang").where(F.col("_mark") <= share)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_mark", "doc_id"))
     return near.withColumn("_r", rank).where(F.col("_r") <= most).select("lang", "text")
 
 
@@ -130,6 +138,8 @@ class Model:
             keys = np.unique(np.concatenate([k for k, _ in counts[order]])) if n_langs else np.zeros(0, np.uint32)
             # a context is a gram without its last byte
             contexts = np.unique(keys >> np.uint32(8)) if order else np.zeros(1, np.uint32)
+            if len(keys) * n_langs > MAX_COSTS:
+                raise ValueError(f"{len(keys)} grams of {n_langs} languages; {MAX_COSTS} costs at most")
             costs = np.zeros((len(keys), n_langs), np.float32)
             leave = np.zeros((len(contexts), n_langs), np.float32)
             for i, (k, c) in enumerate(counts[order]):

@@ -13,7 +13,8 @@ is sent once to each query block and a query block once to each run. Memory is b
 Defined cases: vectors that are null, empty, zero or hold a null or a non-finite component take no part, nor do rows
 without vec_id. Only vectors of equal length meet. Rows with the query's own vec_id are the query's own and never its
 neighbours. Several query rows of one vec_id with different vectors are answered one by one, in rows of equal query_id;
-equal rows are one query. Repeated candidates come back as often as they occur.
+equal rows are one query. Repeated candidates come back as often as they occur. An empty table gives an empty result. Only
+the key and the vector are read, so extra columns can't clash.
 """
 
 from __future__ import annotations

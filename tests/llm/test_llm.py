@@ -216,7 +216,7 @@ def test_learned_weights(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = html_text.sample(pages)
     weights = html_text.learn(got)
-    assert len(got) == pages.select("html").distinct().count() and weights != html_text.PRIOR and html_text.learn(reversed(got)) == pytest.approx(weights, abs=1e-5)
+    assert 0 < len(got) <= pages.select("html").distinct().count() and html_text.sample(pages.union(pages).repartition(3)) == got and weights != html_text.PRIOR and html_text.learn(reversed(got)) == pytest.approx(weights, abs=1e-5)
     assert html_text.learn([]) == html_text.learn(["<p>nothing says what this is"]) == html_text.PRIOR
     # a block of either kind is on the right side by what its text says
     said = [(sum(w * x for w, x in zip(weights, html_text.features(b))) > 0, not html_text.against(b.home)) for h in got for bs in [html_text.blocks(h)] if html_text.settle(bs) is None for b in bs if html_text.against(b.home) or b.home.state[1]]
@@ -280,9 +280,9 @@ def statistics(text):
 def test_statistics(spark, odd_docs, no_docs, sf001):
     extra = spark.createDataFrame([(100, "a b c a b c a", "en", "s", 1), (101, "a\n\na\n b\n b\nb\r\n", "en", "s", 1), (102, "a a a a", "en", "s", 1), (103, "x y z q x y z", "en", "s", 1)], DOCS)
     for df in (odd_docs, extra, sf001):
-        for r in quality_rules.with_statistics(df.drop("n_words")).collect():
+        for r in quality_rules.with_statistics(df).collect():
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == statistics(r.text)
-    judged = quality_rules.apply(odd_docs.drop("kept", "n_words"), quality_rules.DecisionList())
+    judged = quality_rules.apply(odd_docs, quality_rules.DecisionList())
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed) for r in judged.collect())
     assert quality_rules.kept_only(quality_rules.apply(no_docs, quality_rules.DecisionList())).count() == 0
 
@@ -423,7 +423,7 @@ def test_languages(spark, odd_docs, no_docs):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows) and len(held) > 200
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.98 and all(0 <= r.score <= 1 for r in rows)
-    odd = {r.doc_id: r for r in language_id.predict(odd_docs.drop("score"), model).collect()}
+    odd = {r.doc_id: r for r in language_id.predict(odd_docs, model).collect()}
     assert odd[4].lang_pred == odd[3].lang_pred == odd[5].lang_pred == "und" and odd[1].lang_pred in model.languages and not odd[None].held_out
     assert language_id.predict(no_docs, model).count() == 0
     assert {r.lang_pred for r in language_id.predict(odd_docs, language_id.train(no_docs)).collect()} == {"und"}
@@ -464,7 +464,7 @@ def test_mix(spark, odd_docs, no_docs):
     rows = mixing.mix(docs).collect()
     check_mix(rows, docs.collect(), 128)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
-    odd = odd_docs.drop("size", "taken")
+    odd = odd_docs
     check_mix(mixing.mix(odd, block=16).collect(), odd.collect(), 16)
     assert mixing.mix(no_docs).count() == 0
 
@@ -481,7 +481,7 @@ def test_mixed_documents(spark, odd_docs, no_docs):
         got[r.doc_id] += len(own)
         assert r.n_chars == len(r.text) and (r.text == text[r.doc_id] or set(own) <= set(WORD.findall(text[r.doc_id])))
     assert got == Counter({k: v for k, v in taken.items() if v})
-    odd = odd_docs.drop("size", "taken")
+    odd = odd_docs
     n = Counter()
     for r in mixing.mixed_documents(odd, block=16).collect():
         n[r.doc_id] += len(WORD.findall(r.text))
@@ -580,7 +580,7 @@ def test_near_duplicates(spark, sf001, monkeypatch):
 
 
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
-    odd = odd_docs.drop("kept", "component_id")
+    odd = odd_docs
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect())
     assert got[1, 3, 1, True] == 2 and got[2, 3, 1, False] == 1 and got[3, 0, 3, True] == got[4, 0, 4, True] == got[5, 0, 5, True] == 1
     assert got[8, 1, 8, True] == 1 and got[9, 1, 8, False] == 1 and got[None, 3, None, True] == 1 and got[None, 0, None, True] == 1
@@ -698,6 +698,39 @@ def test_pipeline(spark):
             assert Counter(r.decoded_sha256 for r in rows) == text
 
 
+def test_mixed_rows_are_whole(spark):
+    """Equal texts under one doc_id keep each their own columns."""
+    rows = [(1, "a b c d e f g h " * 20, "l%d" % i, "s", i) for i in range(6)] + [(2, "x y " * 60, "m", "t", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("_row", "_doc", "_full", "_parts", "_text", "row_id", "start")})
+    got = mixing.mixed_documents(docs, block=16).collect()
+    assert {r.lang for r in got} <= {f"l{i}" for i in range(6)} | {"m"} and {r["_row"] for r in got} == {r["start"] for r in got} == {"clash"}
+    taken = Counter()
+    for r in mixing.mix(docs, block=16).collect():
+        taken[r.doc_id] += r.taken
+    words_of = Counter()
+    for r in got:
+        words_of[r.doc_id] += len(WORD.findall(r.text))
+    assert words_of == taken and max(Counter(r.lang for r in got).values()) <= 4
+
+
+def test_pipeline_odd(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables pass through each stage and through run."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, None), (None, 1, 1), (6, None, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
+    long = spark.createDataFrame([(i, f"plain words that go on for a while number {i} " * 12, "en", "s" if i % 3 else None, 1) for i in range(40, 70)], DOCS)
+    for name, docs, marks in (("odd", odd_docs.unionByName(long, allowMissingColumns=True), labels), ("none", no_docs, labels.limit(0)), ("unlabelled", odd_docs, labels.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{sf}/documents.parquet")
+        marks.write.parquet(f"{sf}/labels.parquet")
+        assert corpus_pipeline.run(spark, sf).count() == corpus_pipeline.run(spark, sf).count()
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+            n = out.count()
+            assert stage_name == "byte_bpe" or out.columns == docs.columns
+            assert n == docs.count() if stage_name == "byte_bpe" else stage_name == "mixing" or n <= docs.count()
+
+
 def test_pipeline_rules_learn(spark, monkeypatch):
     """The rules stage has a list of its own, though the classifier has taken the labelled bad documents away."""
     import corpus_pipeline
