@@ -7,14 +7,15 @@ block perm(k mod blocks) of pass k div blocks, where perm is the pass's pseudora
 within a pass no block comes twice. Slots and blocks are joined by (source, block index).
 
 Everything runs as DataFrame expressions. To the driver come one row for each source (sizes) and the counts of shards by
-sources, both drawn there; texts are never shuffled for `mix`.
+sources, both drawn there; texts are never shuffled for `mix`, and once for `mixed_documents`.
 
 Order in a source: documents are dealt by hash into buckets, bucket sums give the buckets' offsets and a window inside
 each bucket the document's own; a source with a third of all rows spreads over as many buckets as others together.
 
 Defined cases: a null source is a source of its own, the last one; null or wordless texts have size 0 and take nothing;
-rows with equal doc_id, source, size and text are interchangeable. An empty table gives an empty result. Of the input
-only doc_id, source and text are read, so extra columns can't clash.
+rows with equal doc_id, source, size and text are interchangeable in `mix`, while each row of `mixed_documents` has all
+columns of one row of the input. An empty table gives an empty result. Of the input only doc_id, source and text are read,
+and rows are carried whole as one column, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.numeric import let
 from .store import materialize
 
 #: A source table up to this many rows is broadcast; a larger one is joined by a salted key.
@@ -41,7 +43,7 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 
 def n_words(text: Column) -> Column:
     spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(spaced, " "), lambda w: w != "")).cast("long")
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, times: float) -> list[float]:
@@ -148,9 +150,10 @@ def _with_source(df: DataFrame, plan: Plan, columns: dict[str, list], source: Co
     return df.join(table, F.col("_key").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt_of"))).drop("_key", "_source", "_salt", "_salt_of")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, a row mark and the hash that orders and buckets rows."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_id"), F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("deal"))
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, a row mark (the column `row`, or a new one) and the hash that orders and buckets rows."""
+    mark = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mark.alias("row_id"), F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("deal"))
 
 
 def plan_mix(keys: DataFrame, block: int = 128, shards: int = 16, seed: int = 7, weights=(1, 2, 3), times: float = 3.0) -> Plan:
@@ -231,27 +234,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     `text` and, if there is one, `n_chars` are the row's own; all other columns are the document's.
     """
-    keys, _ = materialize(sized(docs), "mix-keys")
+    spark = docs.sparkSession
+    # written with a number for each row, which both sides of the join below read; whole rows are one column, so no name clashes
+    whole, _ = materialize(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-docs")
+    keys, _ = materialize(sized(whole.select("_doc.doc_id", "_doc.source", "_doc.text", "_row"), "_row"), "mix-keys")
     plan = plan_mix(keys, **options)
     if not plan.names:
         return docs
     full = [s // b if b else 0 for s, b in zip(plan.slots, plan.blocks, strict=True)]
-    same = ["doc_id", "deal", "size"]
-    # equal rows are told apart by their count
-    occurrence = F.row_number().over(W.partitionBy(*same).orderBy("row_id"))
-    placed = place(keys.where("size > 0").withColumn("_nth", occurrence), plan)
-    last = slots(docs.sparkSession, plan).join(F.broadcast(_inline(docs.sparkSession, list(enumerate(full)), "source_no long, pass long")), ["source_no", "pass"]).select("source_no", "block_no")
+    placed, _ = materialize(place(keys.where("size > 0"), plan).select("row_id", "source_no", "start", "size"), "mix-placed")
+    passes = list(enumerate(full))
+    last = slots(spark, plan).join(F.broadcast(_inline(spark, passes, "source_no long, pass long")), ["source_no", "pass"]).select("source_no", "block_no")
     parts = pieces(placed, plan).join(last.hint("merge"), ["source_no", "block_no"]).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
-    rows = placed.select("row_id", "_nth", "source_no", *same).join(parts, "row_id", "left")
-    rows = rows.join(F.broadcast(_inline(docs.sparkSession, list(enumerate(full)), "source_no long, _full long")), "source_no").where("_full > 0 or _parts is not null")
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("deal").alias("_deal"), F.col("size").alias("_size"), "_nth", "_full", "_parts")
-
-    texts = docs.withColumn("_deal_of", F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).withColumn("_size_of", n_words(F.col("text")))
-    texts = texts.where("_size_of > 0").withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "_deal_of", "_size_of").orderBy(F.lit(1))))
-    met = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_deal_of") == F.col("_deal")) & (F.col("_size_of") == F.col("_size")) & (F.col("_row") == F.col("_nth")))
-    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
-    cut = F.when(F.col("_parts").isNotNull(), F.array(F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["from_word"].cast("int") + 1, p["words"].cast("int")))), "")))
-    whole = F.array_repeat(F.col("text"), F.col("_full").cast("int"))
-    out = met.withColumn("_text", F.explode(F.concat(whole, F.coalesce(cut, F.array().cast("array<string>")))))
+    rows = placed.select("row_id", "source_no").join(parts, "row_id", "left").join(F.broadcast(_inline(spark, passes, "source_no long, _full long")), "source_no")
+    rows = rows.where("_full > 0 or _parts is not null").select(F.col("row_id").alias("_row"), "_full", "_parts")
+    met = whole.join(rows, "_row")
+    words = F.regexp_extract_all("_doc.text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    taken = let(words, lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(w, p["from_word"].cast("int") + 1, p["words"].cast("int")))), ""))
+    cut = F.when(F.col("_parts").isNotNull(), F.array(taken)).otherwise(F.array().cast("array<string>"))
+    copies = F.array_repeat(F.col("_doc.text"), F.col("_full").cast("int"))
+    out = met.withColumn("_text", F.explode(F.concat(copies, cut)))
     made = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select(*[made.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
