@@ -9,7 +9,9 @@ Fitting takes a bounded sample of labelled rows: the MAX_FIT_ROWS smallest by ha
 base rules cover all rows and whole texts.
 
 Defined cases: a null or empty text has no words, all statistics 0, and fails the base rules. Null labels are left out
-of fitting; without both kinds of label the list is empty and only base rules decide. Repeated rows are judged alike.
+of fitting; without both kinds of label the list is empty and only base rules decide. Repeated rows are judged alike, and
+very long texts whole. An empty table gives an empty result. Columns of the input that are named like an output column
+(STATISTICS, base_failed, kept) are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -27,10 +29,6 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
-
-
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once: what a lambda's body names from outside is computed again for each
     element, its own variable is not. An expression so closed may be copied into a filter without harm."""
