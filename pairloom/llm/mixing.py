@@ -20,6 +20,7 @@ and rows are carried whole as one column, so extra columns can't clash.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 
@@ -133,7 +134,11 @@ class Plan:
 
 
 def _inline(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """Rows as a constant of the plan, parsed from JSON: a frame made from Python's objects would start Python workers."""
+    columns = [c.split() for c in schema.split(", ")]
+    data = json.dumps([dict(zip([c for c, _ in columns], r, strict=True)) for r in rows])
+    kind = f"array<struct<{', '.join(f'{c}:{k}' for c, k in columns)}>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(data), kind)).alias("_r")).select("_r.*")
 
 
 def _with_source(df: DataFrame, plan: Plan, columns: dict[str, list], source: Column) -> DataFrame:
@@ -147,7 +152,8 @@ def _with_source(df: DataFrame, plan: Plan, columns: dict[str, list], source: Co
         return df.join(F.broadcast(table), F.col("_key").eqNullSafe(F.col("_source"))).drop("_key", "_source")
     table = table.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     df = df.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
-    return df.join(table, F.col("_key").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt_of"))).drop("_key", "_source", "_salt", "_salt_of")
+    # the planner takes the table for as small as the constant that it is parsed from
+    return df.join(table.hint("merge"), F.col("_key").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt_of"))).drop("_key", "_source", "_salt", "_salt_of")
 
 
 def sized(docs: DataFrame, row: str | None = None) -> DataFrame:

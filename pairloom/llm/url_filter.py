@@ -91,7 +91,7 @@ def url_keys(where: Column, grams: bool) -> Column:
 def key_counts(urls: DataFrame, url: str, keys: list[str]) -> dict[str, int]:
     """How many URLs contain each of the rules' keys: at most as many rows come to the driver as the rules have keys."""
     host, path = host_and_path(F.col(url))
-    own = F.broadcast(urls.sparkSession.createDataFrame([(k,) for k in keys], "key string"))
+    own = F.broadcast(urls.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key")))
     found = urls.select(F.explode(url_keys(F.concat(host, path), any(k.startswith(GRAM_MARK) for k in keys))).alias("key"))
     return {r["key"]: r["n"] for r in found.join(own, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
 

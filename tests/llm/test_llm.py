@@ -750,3 +750,10 @@ def test_registered():
 
     names = list(entry.queries())
     assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)] and "pipeline" in names
+
+
+def test_mix_with_many_sources(spark, odd_docs, monkeypatch):
+    """Beyond the bound of a broadcast, sources are joined by a salted key; the result is the same."""
+    few = sorted(map(str, mixing.mix(odd_docs, block=16).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(odd_docs, block=16).collect())) == few
