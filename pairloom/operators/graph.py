@@ -43,8 +43,10 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        step, step_path = materialize(_star(_star(edges, True, seen[0]), False, seen[0]), "links")
-        release(spark, path)
+        # each star reads its links several times, so its input is a table: two stars in one plan would multiply its parts
+        half, half_path = materialize(_star(edges, True, seen[0]), "links")
+        step, step_path = materialize(_star(half, False, seen[0]), "links")
+        release(spark, path, half_path)
         edges, path, now = step, step_path, mark(step)
         if now == seen:
             break
