@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
 BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def tidy() -> None:
@@ -22,6 +25,16 @@ def tidy() -> None:
 def text_batches(spark: SparkSession) -> None:
     """Texts may be long: unless the session has a limit of its own, batches get BATCH_ROWS rows at most. Both the JVM's
     buffers and the workers hold whole batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """text_batches for what runs inside; afterwards the session is as it was."""
+    before = spark.conf.get(_BATCH)
+    text_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
