@@ -18,12 +18,12 @@ from ..sources.store import materialize, release
 from .hot import join_sums
 
 
-def _star(edges: DataFrame, large: bool, many: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, many: int, paths: list[str]) -> DataFrame:
     """large: link each node's larger neighbours to the least of it and its neighbours; small, where all v are below u:
-    the node and its other neighbours to the least one. many: rows of edges, about."""
+    the node and its other neighbours to the least one. many: rows of edges, about; paths: gets what the result reads."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    joined = join_sums(both, least, "u", "_n", 2 * many if large else many)
+    joined = join_sums(both, least, "u", "_n", 2 * many if large else many, paths)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.least("_m", "u").alias("v"))
     else:
@@ -44,9 +44,10 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         # each star reads its links several times, so its input is a table: two stars in one plan would multiply its parts
-        half, half_path = materialize(_star(edges, True, seen[0]), "links")
-        step, step_path = materialize(_star(half, False, seen[0]), "links")
-        release(spark, path, half_path)
+        read: list[str] = []
+        half, half_path = materialize(_star(edges, True, seen[0], read), "links")
+        step, step_path = materialize(_star(half, False, seen[0], read), "links")
+        release(spark, path, half_path, *read)
         edges, path, now = step, step_path, mark(step)
         if now == seen:
             break

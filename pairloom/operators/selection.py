@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import keeps_markers, spoken_chars
+from .quantiles import exact_quantiles
 
 
 def best_take(rows: DataFrame, by: list[str], runaway: str, cer: str, seconds: str, attempt: str) -> DataFrame:
@@ -80,5 +81,5 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, b
 
 
 def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), p.alias("_p")).select(*by, "n", *[F.col("_p")[i].alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))])
+    got = exact_quantiles(rows, by, value, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return got.select(*by, "n", *[F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))])

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import F0_HIGH, F0_LOW, col, finite, guarded_corr, pearson, semitones, strip
+from ..functions.arrays import COEFFICIENTS, POINTS, array_corr, dct_decode, dct_encode
 from ..sources.tables import PROSODY, SCORES
+from .gate import gate
+from .quantiles import with_quantiles
 
 
 def reliability(rows: DataFrame, status: str = "status", ok: str = "ok", by: list[str] | None = None) -> DataFrame:
@@ -88,9 +91,85 @@ def paired_deltas(rows: DataFrame, measures: dict[str, tuple[str, str]], by: lis
 
 
 def ratio_stats(rows: DataFrame, over: str, under: str, by: list[str] | None = None) -> DataFrame:
-    """n, median, mean and 90th percentile of a ratio; pairs without a positive denominator are left out."""
+    """n, median, mean, sample SD and 90th percentile of a ratio; pairs without a positive denominator are left out."""
     r = F.when(F.col(under) > 0, F.col(over) / F.col(under))
-    return rows.groupBy(*(by or [])).agg(F.count(r).alias("n"), F.percentile(r, 0.5).alias("median"), F.avg(r).alias("mean"), F.percentile(r, 0.9).alias("p90"))
+    out = rows.groupBy(*(by or [])).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"))
+    return with_quantiles(out, rows, by or [], r, {"median": 0.5, "p90": 0.9}).select(*(by or []), "n", "median", "mean", "p90", "sd")
+
+
+def as_numbers(table: DataFrame, by: list[str], columns: list[str], prefix: str | Column = "") -> DataFrame:
+    """(by..., name, value): a table's columns as rows, with a prefix to their names."""
+    lead = F.lit(prefix) if isinstance(prefix, str) else prefix
+    items = F.array(*[F.struct(F.concat(lead, F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    return table.select(*by, F.explode(items).alias("_i")).select(*by, "_i.*")
+
+
+DECOMPOSED = ["pooled_r", "within_r", "between_r", "n", "n_groups", "between_share"]
+IDENTITY, ERRORS = ("speaker_similarity", "human_target_speaker_similarity"), ("asr_wer", "tts_intelligibility_wer")
+
+
+def pipeline_numbers(results: DataFrame) -> DataFrame:
+    """(direction, name, value): every number that a report of the pipeline states. direction is null for all rows together.
+
+    Over rows that are ok: scores as means over rows and over speakers, similarity as a percentage of the human one, five prosody
+    measures against the human target's (one speaker on both sides; three rows at least) split within and between
+    speakers, and durations over the human ones.
+    """
+    good = results.where(F.col("status") == "ok")
+    key = ["direction"]
+    whole = reliability(results).withColumn("direction", F.lit(None).cast("string"))
+    parts = [as_numbers(whole, key, ["attempted", "succeeded", "failed", "failure_rate"])]
+    parts.append(as_numbers(good.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, ["n"]))
+    by_row, by_speaker = row_means(good, key, [*IDENTITY, *ERRORS]), two_level_means(good, key, "speaker_id", [*IDENTITY, *ERRORS])
+    names = {f"mean_{f}": f"{f}_row_mean" for f in (*IDENTITY, *ERRORS)}
+    parts.append(as_numbers(by_row.withColumnsRenamed(names), key, list(names.values())))
+    names = {f"group_mean_{f}": f"{f}_speaker_mean" for f in (*IDENTITY, *ERRORS)} | {f"{f}_groups": f"{f}_n_speakers" for f in IDENTITY}
+    ceiling = by_speaker.withColumnsRenamed(names).withColumn("identity_pct_of_ceiling", 100 * F.try_divide(*[F.col(f"{f}_speaker_mean") for f in IDENTITY]))
+    parts.append(as_numbers(ceiling, key, [*names.values(), "identity_pct_of_ceiling"]))
+    same = F.coalesce(F.col("same_speaker_pair"), F.lit(False))
+    parts.append(as_numbers(good.groupBy(*key).agg(F.count_if(same).alias("prosody_n_same_speaker")), key, ["prosody_n_same_speaker"]))
+    split = decomposition(prosody_long(results), "generated", "reference", "speaker_id", [*key, "feature"]).where("n >= 3")
+    parts.append(as_numbers(split, key, DECOMPOSED, F.concat(F.lit("gen_vs_human_"), F.col("feature"), F.lit("_"))))
+    made, human = (F.when(F.col(f"duration_{r}") != 0, F.col(f"duration_{r}")) for r in ("generated", "target_reference"))
+    timed = good.withColumns({"_made": made, "_human": human})
+    ratio = ratio_stats(timed.withColumn("_made", F.when(F.col("_human").isNotNull(), F.col("_made"))), "_made", "_human", key)
+    parts.append(as_numbers(ratio, key, ["n", "median", "mean", "p90"], "duration_ratio_"))
+    parts.append(as_numbers(timed.groupBy(*key).agg(F.avg("_made").alias("mean_generated_s"), F.avg("_human").alias("mean_human_s")), key, ["mean_generated_s", "mean_human_s"], "duration_ratio_"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: What a human pair is compared in: name, and the columns of its two sides.
+HUMAN = {"f0_mean": ("en_f0_mean_st", "es_f0_mean_st"), "f0_std": ("en_f0_std_st", "es_f0_std_st"), "duration": ("en_duration", "es_duration"), "speaking_rate": ("en_speaking_rate", "es_speaking_rate")}
+
+
+def human_numbers(features: DataFrame) -> DataFrame:
+    """(name, value) over feature rows of one speaker that pass the gate: the gate's account, measures of the two sides split
+    within and between speakers, the ratio of their durations, and how many speakers there are."""
+    kept, stats = gate(features)
+    long = kept.select("en_speaker", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for m, (a, b) in HUMAN.items()])).alias("_i")).select("en_speaker", "_i.*")
+    split = decomposition(long, "x", "y", "en_speaker", ["m"])
+    ratio = ratio_stats(kept, "es_duration", "en_duration")
+    speakers = kept.agg(F.countDistinct("en_speaker").alias("n_speakers"))
+    out = as_numbers(stats, [], stats.columns, "gate_")
+    for part in (as_numbers(split, [], DECOMPOSED, F.concat("m", F.lit("_"))), as_numbers(ratio, [], ["n", "median", "mean", "sd"], "es_over_en_duration_"), as_numbers(speakers, [], ["n_speakers"])):
+        out = out.unionByName(part)
+    return out
+
+
+def reconstruction_stats(rows: DataFrame, shape: str, by: list[str] | None = None, points: int = POINTS, coefficients: int = COEFFICIENTS) -> DataFrame:
+    """How much of contours survives their DCT: contours, median, mean and 10th percentile of r with what comes back, and median
+    root mean squared error. Contours that hardly vary, or are missing or not finite in a place, are left out."""
+    s = F.col(shape)
+    fine = F.coalesce((F.size(s) == points) & F.forall(s, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    back = rows.where(fine).withColumn("_back", dct_decode(dct_encode(shape, coefficients), points, coefficients))
+    square = F.aggregate(F.zip_with(s, F.col("_back"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    told = back.select(*(by or []), array_corr(shape, "_back").alias("_r"), F.sqrt(square / points).alias("_rmse")).where("_r IS NOT NULL")
+    out = told.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("contours"), F.avg("_r").alias("r_mean"))
+    out = with_quantiles(out, told, by or [], "_r", {"r_median": 0.5, "r_p10": 0.1})
+    return with_quantiles(out, told, by or [], "_rmse", {"rmse_median": 0.5})
 
 
 def corpus_counts(manifest: DataFrame) -> DataFrame:

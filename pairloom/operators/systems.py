@@ -1,7 +1,7 @@
 """The study of predictors: baselines, ridge from one pass of sums, selection, scores, and clustered inference.
 
-Rows never come to the driver. Ridge needs counts, sums and products (k x k numbers for each key); the cluster bootstrap
-needs each cluster's n and error sums; the signed-rank test needs one mean for each cluster.
+Rows never come to the driver. Ridge needs counts, sums and products (k x k numbers for each key); inference over clusters
+is in `inference`.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import guarded_corr
+from .inference import cluster_inference
+from .quantiles import with_quantiles
 
 #: The grid of ridge penalties.
 LAMBDAS = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6)
@@ -26,7 +28,8 @@ def error_metrics(rows: DataFrame, by: list[str], prediction: str, truth: str) -
     """n, mae, medae, rmse and r (3 rows at least, both sides varying) of predictions."""
     e = F.col(prediction) - F.col(truth)
     full = rows.where(F.col(prediction).isNotNull() & F.col(truth).isNotNull())
-    return full.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("medae"), F.sqrt(F.avg(e * e)).alias("rmse"), guarded_corr(prediction, truth, 3).alias("pearson_r"))
+    out = full.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), guarded_corr(prediction, truth, 3).alias("pearson_r"))
+    return with_quantiles(out, full, by, F.abs(e), {"medae": 0.5}).select(*by, "n", "mae", "medae", "rmse", "pearson_r")
 
 
 def versus_baseline(scores: DataFrame, by: list[str], system: str, value: str, baseline: str) -> DataFrame:
@@ -125,59 +128,10 @@ def deployed(rows: DataFrame, gold: str, deploy: str) -> DataFrame:
 # -- inference ---------------------------------------------------------------
 
 
-def signed_rank(differences: list[float]) -> float | None:
-    """Two-sided p of Wilcoxon's signed-rank test. Zeros are left out. Exact, by counting subsets, without ties or zeros and
-    up to 50 values; else the normal approximation with tie correction."""
-    d = np.asarray(differences, float)
-    nonzero = d[d != 0]
-    n = len(nonzero)
-    if not n:
-        return None
-    size = np.abs(nonzero)
-    order = np.argsort(size, kind="stable")
-    ranks = np.empty(n)
-    ties = 0.0
-    i = 0
-    while i < n:
-        j = i
-        while j + 1 < n and size[order[j + 1]] == size[order[i]]:
-            j += 1
-        ranks[order[i : j + 1]] = (i + j) / 2 + 1
-        t = j - i + 1
-        ties += t**3 - t
-        i = j + 1
-    plus = float(ranks[nonzero > 0].sum())
-    stat = min(plus, n * (n + 1) / 2 - plus)
-    if n <= 50 and not ties and n == len(d):
-        ways = [1] + [0] * (n * (n + 1) // 2)
-        for r in range(1, n + 1):
-            for s in range(len(ways) - 1, r - 1, -1):
-                ways[s] += ways[s - r]
-        return min(1.0, 2 * sum(ways[: int(stat) + 1]) / 2**n)
-    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
-    return min(1.0, math.erfc(abs(stat - n * (n + 1) / 4) / sd / math.sqrt(2))) if sd else None
-
-
-def bootstrap_interval(n: list[float], first: list[float], second: list[float], seed: int = 498, draws: int = 2000) -> tuple[float, float]:
-    """95 % percentile interval of mean(first) - mean(second) over resampled clusters, from their counts and sums."""
-    n_, a, b = (np.asarray(v, float) for v in (n, first, second))
-    rng = np.random.default_rng(seed)
-    pick = np.stack([rng.integers(0, len(n_), len(n_)) for _ in range(draws)])
-    diff = (a[pick].sum(1) - b[pick].sum(1)) / n_[pick].sum(1)
-    low, high = np.percentile(diff, [2.5, 97.5])
-    return float(low), float(high)
-
-
 def clustered(rows: DataFrame, cluster: str, error: str, base_error: str, seed: int = 498, draws: int = 2000) -> dict:
-    """Inference over clusters for one key: to the driver come n and two sums for each cluster."""
-    per = rows.where(F.col(error).isNotNull() & F.col(base_error).isNotNull()).groupBy(F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("e"), F.sum(base_error).alias("b"))
-    got = sorted(per.collect(), key=lambda r: r["c"])
-    if not got:
-        return {"n_clusters": 0, "p": None, "ci_low": None, "ci_high": None, "excludes_zero": None}
-    diff = [r["e"] / r["n"] - r["b"] / r["n"] for r in got]
-    p = signed_rank(diff) if len(got) >= 6 and max(map(abs, diff)) > 1e-12 else None
-    low, high = bootstrap_interval([r["n"] for r in got], [r["e"] for r in got], [r["b"] for r in got], seed, draws)
-    return {"n_clusters": len(got), "p": p, "ci_low": low, "ci_high": high, "excludes_zero": low > 0 or high < 0}
+    """cluster_inference for one key, as a dict."""
+    got = cluster_inference(rows, [], cluster, error, base_error, seed, draws).first()
+    return got.asDict() if got else {"n_clusters": 0, "p": None, "ci_low": None, "ci_high": None, "excludes_zero": None}
 
 
 def equivalent(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

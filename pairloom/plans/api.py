@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gate, graph, pairing, resume, summary, systems, text_metrics
+from ..operators import gate, graph, inference, pairing, resume, summary, systems, text_metrics
 from ..sources import tables
 
 #: Named feature subsets.
@@ -58,7 +58,8 @@ def summarize(spark: SparkSession, results: str) -> DataFrame:
 
 
 def report(features: DataFrame, features_named: str = "t1") -> dict[str, DataFrame]:
-    """T1 gate account, T3 paired deltas, T4 scores of the systems by direction and target."""
+    """T1 gate account, T3 paired deltas, T4 scores of the systems by direction and target, with inference over speakers: each
+    system's absolute errors against those of the copy with an offset."""
     kept, stats = gate.gate(features)
     graph.require_disjoint(kept, ["en_speaker", "es_speaker"])
     frame = pairing.directional(kept)
@@ -73,7 +74,11 @@ def report(features: DataFrame, features_named: str = "t1") -> dict[str, DataFra
                 continue
             made, _ = systems.study(rows, names, f"copy_{target}", f"target_{target}")
             long = systems.long_systems(made.where("split = 'test'").withColumn("truth", F.col(f"target_{target}")), ["truth"], ["B0", "B1", "B2", "ridge"])
-            one = systems.error_metrics(long, ["system"], "prediction", "truth").select(F.lit(direction).alias("direction"), F.lit(target).alias("target"), "*")
+            one = systems.error_metrics(long, ["system"], "prediction", "truth")
+            error = lambda c: F.abs(F.col(c) - F.col(f"target_{target}"))
+            speaker = made.where("split = 'test'").select("speaker", error("B2").alias("base"), F.explode(F.array(*[F.struct(F.lit(s).alias("system"), error(s).alias("error")) for s in ("B0", "B1", "ridge")])).alias("_s")).select("speaker", "base", "_s.*")
+            sure = inference.cluster_inference(speaker, ["system"], "speaker", "error", "base")
+            one = one.join(sure, "system", "left").select(F.lit(direction).alias("direction"), F.lit(target).alias("target"), "*")
             scores = one if scores is None else scores.unionByName(one)
     out = {"T1_gate": stats, "T3_corpus": summary.paired_deltas(kept, measures)}
     if scores is not None:
@@ -81,6 +86,11 @@ def report(features: DataFrame, features_named: str = "t1") -> dict[str, DataFra
     return out
 
 
+def numbers(spark: SparkSession, results: str, features: DataFrame) -> dict[str, DataFrame]:
+    """The numbers of the pipeline's results and of the human pairs, each as rows of a name and a value."""
+    return {"pipeline": summary.pipeline_numbers(tables.read_results(spark, results)), "human": summary.human_numbers(features)}
+
+
 def leakcheck(mt: DataFrame, synthesis: DataFrame) -> DataFrame:
     """r and mean absolute difference of the three pairs of word counts; an error where the tables share no row."""
     out = pairing.leak_numbers(pairing.leak_check(mt, synthesis))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import arrays, numeric, text
-from ..operators import clusters, gate, graph, pairing, resume, selection, summary, systems, text_metrics, timeline
+from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline
 
 from ..streaming import jobs
 
@@ -114,7 +114,66 @@ FROM (SELECT l_linestatus AS l_shipmode_, CASE WHEN l_quantity > 0 THEN l_extend
 """)
 def agg_ratio_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem", "l_linestatus", "l_extendedprice", "l_quantity").withColumnRenamed("l_linestatus", "k")
-    return rounded(summary.ratio_stats(rows, "l_extendedprice", "l_quantity", ["k"]), "median", "mean", "p90")
+    return rounded(summary.ratio_stats(rows, "l_extendedprice", "l_quantity", ["k"]), "median", "mean", "p90").drop("sd")
+
+
+@query("""
+SELECT l_suppkey, count(*) AS n, round(quantile_cont(v, 0.01), 6) AS p1, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.99), 6) AS p99
+FROM (SELECT 0 AS l_suppkey, l_extendedprice AS v FROM lineitem UNION ALL SELECT l_suppkey, l_extendedprice FROM lineitem) GROUP BY 1
+""")
+def agg_quantiles(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem", "l_suppkey", "l_extendedprice")
+    rows = l.select(F.explode(F.array(F.lit(0).cast("long"), F.col("l_suppkey").cast("long"))).alias("l_suppkey"), "l_extendedprice")
+    got = quantiles.exact_quantiles(rows, ["l_suppkey"], "l_extendedprice", [0.01, 0.5, 0.99])
+    return got.select("l_suppkey", "n", *[F.round(F.get("quantiles", F.lit(i)), 6).alias(c) for i, c in enumerate(("p1", "p50", "p99"))])
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """Rows of lineitem as a pipeline's results: what was ordered as generated, what a price stands for as the human's."""
+    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    q, x, n = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"), F.col("l_linenumber")
+    sides = {"f0_mean": (q + 80, x / 500 + 60), "f0_std": (q, x / 2000), "energy": (F.col("l_tax").cast("double"), F.col("l_discount").cast("double")), "duration": (q - 1, x / 1500), "speaking_rate": (q / 10, n.cast("double"))}
+    scores = {"speaker_similarity": F.col("l_discount") * 10, "human_target_speaker_similarity": F.col("l_tax") * 5 + 0.5, "asr_wer": q / 50, "tts_intelligibility_wer": F.when(n > 1, q / 60)}
+    return l.select(F.when(F.col("l_linestatus") == "O", "en-es").otherwise("es-en").alias("direction"), F.col("l_suppkey").cast("string").alias("speaker_id"), F.when(n < 6, "ok").otherwise("failed").alias("status"), (n < 4).alias("same_speaker_pair"), *[v.cast("double").alias(k) for k, v in scores.items()], *[v.alias(f"{f}_{r}") for f, (a, b) in sides.items() for r, v in (("generated", a), ("target_reference", b))])
+
+
+_SIDES = {"f0_mean": ("l_quantity + 80", "l_extendedprice / 500 + 60"), "f0_std": ("l_quantity", "l_extendedprice / 2000"), "energy": ("l_tax", "l_discount"), "duration": ("l_quantity - 1", "l_extendedprice / 1500"), "speaking_rate": ("l_quantity / 10", "l_linenumber")}
+_NUMBERED = "SELECT direction, unnest([{names}]) AS name, unnest([{values}]) AS value FROM {of}"
+
+
+def _numbered(of: str, names: dict[str, str]) -> str:
+    return _NUMBERED.format(names=", ".join(f"'{n}'" for n in names), values=", ".join(f"({v})::DOUBLE" for v in names.values()), of=of)
+
+
+_SCORES = {"speaker_similarity": "l_discount * 10", "human_target_speaker_similarity": "l_tax * 5 + 0.5", "asr_wer": "l_quantity / 50", "tts_intelligibility_wer": "CASE WHEN l_linenumber > 1 THEN l_quantity / 60 END"}
+
+
+@query(f"""
+WITH r AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'en-es' ELSE 'es-en' END AS direction, l_suppkey AS g, l_linenumber < 6 AS ok, l_linenumber < 4 AS same, {", ".join(f"({v})::DOUBLE AS {k}" for k, v in _SCORES.items())},
+  {", ".join(f"({a})::DOUBLE AS {f}_g, ({b})::DOUBLE AS {f}_h" for f, (a, b) in _SIDES.items())} FROM lineitem WHERE l_orderkey % 3 = 0),
+good AS (SELECT * FROM r WHERE ok),
+whole AS (SELECT NULL::VARCHAR AS direction, count(*) AS n, count(*) FILTER (WHERE ok) AS good FROM r),
+rowed AS (SELECT direction, count(*) AS n, count(*) FILTER (WHERE same) AS same, {", ".join(f"avg({k}) AS {k}" for k in _SCORES)},
+  count(*) FILTER (WHERE duration_g <> 0 AND duration_h <> 0) AS rn, quantile_cont(CASE WHEN duration_g <> 0 THEN duration_g / duration_h END, 0.5) AS rm, avg(CASE WHEN duration_g <> 0 THEN duration_g / duration_h END) AS ra,
+  quantile_cont(CASE WHEN duration_g <> 0 THEN duration_g / duration_h END, 0.9) AS rp, avg(CASE WHEN duration_g <> 0 THEN duration_g END) AS mg, avg(duration_h) AS mh FROM good GROUP BY 1),
+own AS (SELECT direction, g, {", ".join(f"avg({k}) AS {k}" for k in _SCORES)} FROM good GROUP BY 1, 2),
+two AS (SELECT direction, {", ".join(f"avg({k}) AS {k}, count({k}) AS n_{k}" for k in _SCORES)} FROM own GROUP BY 1),
+long AS ({" UNION ALL ".join(f"SELECT direction, g, '{f}' AS f, " + (f"12 * log2({f}_g / 100) AS x, 12 * log2({f}_h / 100) AS y" if f.startswith("f0") else f"{f}_g AS x, {f}_h AS y") + " FROM good WHERE same" + (f" AND {f}_g > 0 AND {f}_h > 0" if f.startswith("f0") else "") + (f" AND {f}_g BETWEEN 60 AND 400 AND {f}_h BETWEEN 60 AND 400" if f == "f0_mean" else "") for f in _SIDES)}),
+c AS (SELECT *, count(*) OVER w AS m, avg(x) OVER w AS gx, avg(y) OVER w AS gy, avg(x) OVER (PARTITION BY direction, f) AS grand FROM long WINDOW w AS (PARTITION BY direction, f, g)),
+pooled AS (SELECT direction, f, corr(x, y) AS pooled_r, count(*) AS n FROM long GROUP BY 1, 2 HAVING count(*) >= 3),
+within AS (SELECT direction, f, CASE WHEN count(*) >= 3 THEN corr(x - gx, y - gy) END AS within_r, sum((gx - grand) ^ 2) AS ssb, sum((x - gx) ^ 2) AS ssw FROM c WHERE m > 1 GROUP BY 1, 2),
+means AS (SELECT direction, f, g, any_value(gx) AS gx, any_value(gy) AS gy FROM c WHERE m > 1 GROUP BY 1, 2, 3),
+between_ AS (SELECT direction, f, CASE WHEN count(*) >= 3 THEN corr(gx, gy) END AS between_r, count(*) AS n_groups FROM means GROUP BY 1, 2),
+parts AS (SELECT * FROM pooled LEFT JOIN within USING (direction, f) LEFT JOIN between_ USING (direction, f)),
+numbers AS (
+  {_numbered("whole", {"attempted": "n", "succeeded": "good", "failed": "n - good", "failure_rate": "(n - good) / n"})}
+  UNION ALL {_numbered("rowed", {"n": "n", "prosody_n_same_speaker": "same", **{f"{k}_row_mean": k for k in _SCORES}, "duration_ratio_n": "rn", "duration_ratio_median": "rm", "duration_ratio_mean": "ra", "duration_ratio_p90": "rp", "duration_ratio_mean_generated_s": "mg", "duration_ratio_mean_human_s": "mh"})}
+  UNION ALL {_numbered("two", {**{f"{k}_speaker_mean": k for k in _SCORES}, "speaker_similarity_n_speakers": "n_speaker_similarity", "human_target_speaker_similarity_n_speakers": "n_human_target_speaker_similarity", "identity_pct_of_ceiling": "100 * speaker_similarity / human_target_speaker_similarity"})}
+  UNION ALL SELECT direction, 'gen_vs_human_' || f || '_' || unnest(['pooled_r', 'within_r', 'between_r', 'n', 'n_groups', 'between_share']), unnest([pooled_r, within_r, between_r, n::DOUBLE, coalesce(n_groups, 0)::DOUBLE, ssb / (ssb + ssw)]) FROM parts)
+SELECT direction, name, round(value, 5) AS value FROM numbers
+""")
+def agg_pipeline_numbers(spark, sf_dir):
+    return rounded(summary.pipeline_numbers(_results(spark, sf_dir)), "value", places=5)
 
 
 @query("""
@@ -452,12 +511,58 @@ def st_ridge_weights(spark, sf_dir):
     return spark.createDataFrame([(round(float(m.intercept), 4), round(float(m.weights[0]), 4), round(float(m.weights[1]), 4))], "intercept double, w1 double, w2 double")
 
 
+def _clusters(spark, sf_dir) -> DataFrame:
+    """Errors of two systems by supplier and ship mode, summed by supplier."""
+    l = table(spark, sf_dir, "lineitem", "l_linestatus", "l_suppkey", "l_quantity", "l_extendedprice")
+    return l.groupBy("l_linestatus", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("e"), F.sum(F.col("l_extendedprice") / 1500).alias("b"))
+
+
 @query()
 def st_cluster_inference(spark, sf_dir):
     rows = systems.baselines(_frame(spark, sf_dir), [], "copy", "target").where("split = 'test'")
     rows = rows.select(F.col("l_suppkey").cast("string").alias("c"), F.abs(F.col("B1") - F.col("target")).alias("e"), F.abs(F.col("B2") - F.col("target")).alias("b"))
-    got = systems.clustered(rows, "c", "e", "b")
-    return spark.createDataFrame([tuple(got.values())], "n_clusters int, p double, ci_low double, ci_high double, excludes_zero boolean")
+    return inference.cluster_inference(rows, [], "c", "e", "b")
+
+
+@query("""
+WITH per AS (SELECT l_linestatus, l_suppkey, count(*) AS n, sum(l_quantity) AS e, sum(l_extendedprice / 1500) AS b FROM lineitem GROUP BY 1, 2),
+picks AS (SELECT o_orderkey % 100 AS draw, 1 + o_custkey % (SELECT max(s_suppkey) FROM supplier) AS l_suppkey, count(*) AS times FROM orders GROUP BY 1, 2),
+s AS (SELECT l_linestatus, draw, (sum(times * e) - sum(times * b)) / sum(times * n) AS d FROM per JOIN picks USING (l_suppkey) GROUP BY 1, 2),
+q AS (SELECT l_linestatus, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM s GROUP BY 1)
+SELECT l_linestatus, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, lo > 0 OR hi < 0 AS excludes_zero FROM q
+""")
+def st_bootstrap_given(spark, sf_dir):
+    per = _clusters(spark, sf_dir)
+    most = table(spark, sf_dir, "supplier", "s_suppkey").agg(F.max("s_suppkey").alias("most"))
+    draws = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").join(F.broadcast(most), F.lit(True))
+    picks = draws.groupBy((F.col("o_orderkey") % 100).alias("draw"), (1 + F.col("o_custkey") % F.col("most")).alias("l_suppkey")).agg(F.count(F.lit(1)).alias("times"))
+    keyed = picks.join(per.select("l_linestatus").distinct(), F.lit(True))
+    sums = inference.resample_given(per, keyed, ["l_linestatus"], "l_suppkey", ["n", "e", "b"])
+    return rounded(inference.percentile_interval(sums, ["l_linestatus"], "n", "e", "b"), "ci_low", "ci_high")
+
+
+@query("""
+WITH RECURSIVE d AS (
+  SELECT c_nationkey || '|' || c_mktsegment AS k, c_acctbal - 4000 AS d FROM customer UNION ALL SELECT c_mktsegment, c_acctbal - 4300 FROM customer
+  UNION ALL SELECT 'tied|' || l_returnflag, l_quantity - 25 FROM lineitem WHERE l_orderkey % 97 = 1
+), z AS (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY k, abs(d)) AS m FROM d WHERE d <> 0
+), s AS (SELECT k, count(*) AS nz, sum(r) FILTER (WHERE d > 0) AS plus, sum(m * m - 1) AS ties FROM z GROUP BY 1
+), c AS (SELECT d.k, count(*) AS n FROM d GROUP BY 1
+), t AS (SELECT c.k, n, coalesce(nz, 0) AS nz, least(coalesce(plus, 0), nz * (nz + 1) / 2.0 - coalesce(plus, 0)) AS w, ties FROM c LEFT JOIN s USING (k)
+), w(n, v, ways) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL
+  SELECT n + 1, v, sum(ways) FROM (SELECT n, v, ways FROM w WHERE n < 50 UNION ALL SELECT n, v + n + 1, ways FROM w WHERE n < 50) GROUP BY n, v
+), x AS (SELECT k, abs(w - nz * (nz + 1) / 4.0) / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24.0 - ties / 48.0) / sqrt(2) AS x FROM t
+), e AS (SELECT k, CASE WHEN x > 5 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(greatest(x, 1e-300)) - lgamma(i + 1)) / (2 * i + 1))) END AS normal FROM x
+), p AS (SELECT k, 2 * sum(ways) / 2.0 ^ any_value(nz) AS exact FROM t JOIN w ON w.n = nz AND v <= w AND nz = t.n AND ties = 0 AND nz <= 50 GROUP BY 1)
+SELECT t.k, t.n, nz AS n_nonzero, round(w, 1) AS statistic, round(CASE WHEN nz > 0 THEN least(1, coalesce(exact, normal)) END, 6) AS p FROM t JOIN e USING (k) LEFT JOIN p USING (k)
+""")
+def st_signed_ranks(spark, sf_dir):
+    c = table(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment", "c_acctbal")
+    rows = c.select(F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("k"), (F.col("c_acctbal") - 4000).cast("double").alias("d"))
+    rows = rows.union(c.select("c_mktsegment", (F.col("c_acctbal") - 4300).cast("double")))
+    tied = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_quantity").where("l_orderkey % 97 = 1")
+    rows = rows.union(tied.select(F.concat(F.lit("tied|"), "l_returnflag"), (F.col("l_quantity") - 25).cast("double")))
+    return rounded(rounded(inference.signed_ranks(rows, ["k"], "d"), "statistic", places=1), "p")
 
 
 @query("""

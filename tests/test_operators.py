@@ -194,17 +194,6 @@ def test_holm(spark):
     assert got[:3] == pytest.approx([0.03, 0.06, 0.06]) and got[3] is None
 
 
-def test_signed_rank():
-    assert systems.signed_rank([1, 2, 3, 4, 5, 6]) == pytest.approx(2 / 64)
-    assert systems.signed_rank(list(range(1, 15))) == pytest.approx(2 / 2**14)
-    assert systems.signed_rank([1, -2, 3, -4, 5, -6, 7]) == pytest.approx(0.8125)
-    assert systems.signed_rank([0, 0]) is None
-    tied = systems.signed_rank([1, 1, 2, 2, -3, 4, 5, 6, 7, 8])
-    assert 0 < tied < 0.05
-    low, high = systems.bootstrap_interval([5, 5, 5], [5, 6, 7], [1, 1, 1])
-    assert 0.7 < low < high < 1.3
-
-
 def test_cluster_inference(spark):
     rows = [(f"s{i % 8}", 1.0 + i % 8 / 10, 2.0 + i % 8 / 9) for i in range(80)]
     got = systems.clustered(spark.createDataFrame(rows, "c string, e double, b double"), "c", "e", "b")
