@@ -164,7 +164,7 @@ def reconstruction_stats(rows: DataFrame, shape: str, by: list[str] | None = Non
     root mean squared error. Contours that hardly vary, or are missing or not finite in a place, are left out."""
     s = F.col(shape)
     fine = F.coalesce((F.size(s) == points) & F.forall(s, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    back = rows.where(fine).withColumn("_back", dct_decode(dct_encode(shape, coefficients), points, coefficients))
+    back = rows.where(fine).withColumn("_back", dct_decode(dct_encode(shape, points, coefficients), points, coefficients))
     square = F.aggregate(F.zip_with(s, F.col("_back"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
     told = back.select(*(by or []), array_corr(shape, "_back").alias("_r"), F.sqrt(square / points).alias("_rmse")).where("_r IS NOT NULL")
     out = told.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("contours"), F.avg("_r").alias("r_mean"))

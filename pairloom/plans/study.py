@@ -827,3 +827,16 @@ def stream_sessions(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
+
+
+@query(f"""
+WITH e AS (SELECT vec_id % 4 AS k, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT k, v, [{_DCT}] AS c FROM e),
+b AS (SELECT k, v, list_transform(range(64), lambda i: list_sum(list_transform(range(1, 9), lambda j: c[j] * sqrt(2 / 64.0) * cos(pi() * (2 * i + 1) * j / 128.0)))) AS b FROM c),
+r AS (SELECT k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - list_avg(v)) * (b[i] - list_avg(b)))) / sqrt(list_sum(list_transform(v, lambda x: (x - list_avg(v)) ^ 2)) * list_sum(list_transform(b, lambda x: (x - list_avg(b)) ^ 2))) AS r,
+  sqrt(list_sum(list_transform(range(1, 65), lambda i: (v[i] - b[i]) ^ 2)) / 64) AS rmse FROM b)
+SELECT k, count(*) AS contours, round(avg(r), 6) AS r_mean, round(quantile_cont(r, 0.5), 6) AS r_median, round(quantile_cont(r, 0.1), 6) AS r_p10, round(quantile_cont(rmse, 0.5), 6) AS rmse_median FROM r GROUP BY 1
+""")
+def arr_reconstruction(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select((F.col("vec_id") % 4).alias("k"), F.col("embedding").cast("array<double>").alias("shape"))
+    return rounded(summary.reconstruction_stats(e, "shape", ["k"]), "r_mean", "r_median", "r_p10", "rmse_median")
