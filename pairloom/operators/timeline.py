@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.numeric import let
+from ..sources.store import materialize, release
+
 #: Fixed values, seconds: how far a line may run over, pauses before the same and another speaker, the least window.
 SPILL, SAME_GAP, TURN_GAP, MIN_WINDOW = 0.3, 0.1, 0.2, 0.3
 
@@ -43,15 +46,47 @@ def first_labels(rows: DataFrame, job: str, order: str, label: str) -> DataFrame
 def fill_nearest(rows: DataFrame, job: str, order: str, start: str, end: str, label: str) -> DataFrame:
     """rows whose missing label is taken from the segment of the job that is nearest in time; of equals, the first.
 
-    A segment's gap to another is 0 where they overlap. Only the segments with a missing label meet their job's others. Repeated
-    rows stay as they are; a missing label stays missing where its job has no known one.
+    A segment's gap to another is 0 where they overlap or touch. Repeated rows stay as they are; a missing label stays missing
+    where its job has no known one; a segment without a start or an end lends no label and gets none.
+
+    No two lists meet as a whole. The nearest known segment before and the one after come from running maxima and minima
+    over ends and starts. For the first of those that overlap, known segments are ranked by start: those that start early
+    enough are a prefix of ranks, which is at most one block for each power of two; in a block sorted by ends, a running
+    minimum tells the first of those that end late enough. So work is n log n.
     """
-    known = rows.where(F.col(label).isNotNull()).select(F.col(job).alias("_j"), F.col(order).alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_l"))
-    gap = F.greatest(F.lit(0.0), F.col("_s") - F.col(end), F.col(start) - F.col("_e"))
-    open_ = rows.where(F.col(label).isNull())
-    marked = open_.withColumn("_all", F.struct("*")).withColumn("_row", F.monotonically_increasing_id())
-    near = marked.join(known, F.col(job) == F.col("_j"), "left").groupBy("_row").agg(F.first("_all").alias("_all"), F.min_by("_l", F.struct(gap, F.col("_o"))).alias("_near"))
-    filled = near.select(*[(F.col("_near") if c == label else F.col("_all")[c]).alias(c) for c in rows.columns])
+    spark = rows.sparkSession
+    marked, _ = materialize(rows.where(F.col(label).isNull()).withColumn("_row", F.monotonically_increasing_id()), "open")
+    timed = lambda df: df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    x = timed(marked).select(F.col(job).alias("j"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), "_row")
+    by_job = W.partitionBy("j")
+    y = timed(rows).where(F.col(label).isNotNull()).select(F.col(job).alias("j"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(order).alias("_o"), F.col(label).alias("l"))
+    y = y.withColumns({"r": F.row_number().over(by_job.orderBy("_o", "s", "e", "l")), "at": F.row_number().over(by_job.orderBy("s", "e", "_o")) - 1, "n": F.count(F.lit(1)).over(by_job)})
+    y, path = materialize(y.drop("_o"), "known")
+    own = F.struct("r", "l").alias("own")
+
+    def met(known: DataFrame, asking: DataFrame, t: list[str], w, best) -> DataFrame:
+        """asking rows with `best` over the known rows that stand before them; equal times count as before."""
+        keys = [c for c in known.columns if c not in (*t, "own")]
+        both = known.select(*keys, F.col(t[0]).alias("t"), F.lit(0).alias("kind"), "own", F.lit(None).cast("long").alias("_row")).unionByName(asking.select(*keys, F.col(t[1]).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["own"].dataType).alias("own"), "_row"))
+        return both.withColumn("best", best.over(w.rowsBetween(W.unboundedPreceding, 0))).where("kind = 1")
+
+    low, high = W.partitionBy("j").orderBy("t", "kind"), W.partitionBy("j").orderBy(F.desc("t"), "kind")
+    last = F.max(F.when(F.col("kind") == 0, F.struct("t", (-F.col("own.r")).alias("r"), "own")))
+    before = met(y.select("j", "e", own), x.select("j", "s", "_row"), ["e", "s"], low, last).select("_row", (F.col("t") - F.col("best.t")).alias("gap"), F.col("best.own").alias("own"))
+    first = F.min(F.when(F.col("kind") == 0, F.struct("t", F.col("own.r").alias("r"), "own")))
+    after = met(y.select("j", "s", own), x.select("j", "e", "_row"), ["s", "e"], high, first).select("_row", (F.col("best.t") - F.col("t")).alias("gap"), F.col("best.own").alias("own"))
+    # how many known segments start no later than the asking one's end, and the blocks that make up this prefix
+    upto = met(y.select("j", "s", own), x.select("j", "e", "_row"), ["s", "e"], low, F.count("own")).select("_row", F.col("best").alias("k"))
+    bits = F.sequence(F.lit(0), F.floor(F.log2(F.col("n"))).cast("int"))
+    shift = lambda c, k: F.floor(F.col(c) / F.pow(F.lit(2.0), k)).cast("long")
+    blocks = y.select("j", "e", own, "at", F.explode(bits).alias("bit")).withColumn("block", shift("at", F.col("bit"))).where("block % 2 = 0").drop("at")
+    asked = x.join(upto, "_row").where("k > 0").select("j", "s", "_row", "k", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("k"))).cast("int"))).alias("bit"))
+    asked = asked.where(shift("k", F.col("bit")) % 2 == 1).withColumn("block", shift("k", F.col("bit")) - 1).drop("k")
+    late = W.partitionBy("j", "bit", "block").orderBy(F.desc("t"), "kind")
+    over = met(blocks, asked, ["e", "s"], late, F.min("own")).select("_row", F.lit(0.0).alias("gap"), F.col("best").alias("own"))
+    nearest = before.unionByName(after).unionByName(over).where("own IS NOT NULL").groupBy("_row").agg(F.min_by("own.l", F.struct("gap", "own.r")).alias("_near"))
+    filled, _ = materialize(marked.join(nearest, "_row", "left").select(*[F.col("_near").alias(c) if c == label else c for c in rows.columns]), "filled")
+    release(spark, path)
     return rows.where(F.col(label).isNotNull()).unionByName(filled)
 
 
@@ -97,9 +132,18 @@ def greedy_reference(pieces: DataFrame, speaker: str, seconds: str, order: str,
 
 
 def envelope(segments: Column, samples: int, rate: int, under: float = 0.25, bed: float = 1.0) -> Column:
-    """Gain of each sample: `under` below any segment, else `bed`. segments: array of struct (start, end), seconds."""
-    inside = lambda i: F.exists(segments, lambda s: (i >= F.greatest(F.lit(0), (s["start"] * rate).cast("int"))) & (i < (s["end"] * rate).cast("int")))
-    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.when(inside(i), F.lit(under)).otherwise(F.lit(bed)))
+    """Gain of each sample: `under` below any segment, else `bed`. segments: array of struct (start, end), seconds. Between two
+    neighbouring starts or ends the gain is one, so segments are looked at once for each of these, not for each sample. For
+    whole recordings see tracks.duck."""
+    cut = lambda v: F.least(F.greatest((v * rate).cast("int"), F.lit(0)), F.lit(samples))
+    spans = F.transform(segments, lambda s: F.struct(cut(s["start"]).alias("a"), cut(s["end"]).alias("b")))
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.lit(samples)), F.transform(spans, lambda s: s["a"]), F.transform(spans, lambda s: s["b"]))))
+
+    def runs(p: Column) -> Column:
+        gain = lambda x: F.when(F.exists(p["spans"], lambda s: (s["a"] <= x) & (x < s["b"])), under).otherwise(bed)
+        return F.flatten(F.transform(F.slice(p["edges"], 1, F.size(p["edges"]) - 1), lambda x, k: F.array_repeat(gain(x), F.get(p["edges"], k + 1) - x)))
+
+    return let(F.struct(spans.alias("spans"), edges.alias("edges")), runs)
 
 
 def placed_track(lines: DataFrame, job: str, offset: str, piece: str, rate: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import arrays, numeric, text
-from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline
+from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline, tracks
 
 from ..streaming import jobs
 
@@ -840,3 +840,57 @@ SELECT k, count(*) AS contours, round(avg(r), 6) AS r_mean, round(quantile_cont(
 def arr_reconstruction(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select((F.col("vec_id") % 4).alias("k"), F.col("embedding").cast("array<double>").alias("shape"))
     return rounded(summary.reconstruction_stats(e, "shape", ["k"]), "r_mean", "r_median", "r_p10", "rmse_median")
+
+
+# -- recordings --------------------------------------------------------------
+
+
+def _track(spark, sf_dir) -> DataFrame:
+    """Vectors as seconds of 64 samples, sixteen to a recording; the last recording's last second is cut short."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    v = F.col("embedding").cast("array<double>")
+    return e.select(F.floor(F.col("vec_id") / 16).alias("job"), (F.col("vec_id") % 16).alias("second"), F.when(F.col("vec_id") % 16 == 15, F.slice(v, 1, 40)).otherwise(v).alias("samples"))
+
+
+_SAMPLES = """
+t AS (SELECT vec_id // 16 AS job, vec_id % 16 AS second, (CASE WHEN vec_id % 16 = 15 THEN embedding[1:40] ELSE embedding END)::DOUBLE[] AS s FROM embeddings),
+x AS (SELECT job, second, unnest(s) AS v, second * 64 + unnest(range(len(s))) AS i FROM t),
+n AS (SELECT job, max(i) + 1 AS n FROM x GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_SAMPLES},
+seg AS (SELECT event_id % 1000 AS job, (event_id * 7 % 150) / 10.0 AS a, (event_id * 7 % 150) / 10.0 + (event_id % 13) / 10.0 AS b FROM events WHERE event_id % 3 = 0),
+cut AS (SELECT DISTINCT job, greatest(0, trunc(a * 64)::BIGINT) AS a, trunc(b * 64)::BIGINT AS b FROM seg WHERE trunc(b * 64)::BIGINT > trunc(a * 64)::BIGINT),
+g AS (SELECT x.job, x.i, any_value(x.v) AS v, any_value(second) AS second, CASE WHEN count(cut.a) > 0 THEN 0.25 ELSE 0.8 END AS g FROM x LEFT JOIN cut ON cut.job = x.job AND cut.a <= x.i AND x.i < cut.b GROUP BY 1, 2),
+wide AS (SELECT job, i, g FROM g UNION ALL SELECT g.job, -k, g.g FROM g, range(1, 10) r(k) WHERE i = 0 UNION ALL SELECT g.job, i + k, g.g FROM g JOIN n USING (job), range(1, 10) r(k) WHERE i = n - 1),
+m AS (SELECT job, i, avg(g) OVER (PARTITION BY job ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS g FROM wide)
+SELECT g.job, second, round(sum(v * m.g), 6) AS total, round(max(abs(v * m.g)), 6) AS peak, round(min(m.g), 6) AS least_gain FROM g JOIN m USING (job, i) GROUP BY 1, 2
+""")
+def arr_duck(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id").where("event_id % 3 = 0")
+    start = (F.col("event_id") * 7 % 150) / 10.0
+    seg = e.select((F.col("event_id") % 1000).alias("job"), start.alias("start"), (start + (F.col("event_id") % 13) / 10.0).alias("end"))
+    track = _track(spark, sf_dir)
+    out = tracks.duck(track, seg, 64)
+    ones = tracks.duck(track.withColumn("samples", F.transform("samples", lambda v: F.lit(1.0))), seg, 64).select("job", "second", F.round(F.array_min("samples"), 6).alias("least_gain"))
+    total = F.aggregate("samples", F.lit(0.0), lambda t, v: t + v)
+    return out.select("job", "second", F.round(total, 6).alias("total"), F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak")).join(ones, ["job", "second"])
+
+
+@query(f"""
+WITH {_SAMPLES},
+c AS (SELECT x.job, x.i, v, second, unnest(CASE WHEN (i + 12) // 100 > i // 100 AND (i // 100 + 1) * 100 < n THEN [i // 100, i // 100 + 1] ELSE [i // 100] END) AS chunk, n FROM x JOIN n USING (job)),
+m AS (SELECT *, v - avg(v) OVER (PARTITION BY job, chunk) AS d FROM c),
+w AS (SELECT job, second, i, d * CASE WHEN chunk > 0 AND i < chunk * 100 THEN (i - chunk * 100 + 12) / 11.0 ELSE 1 END * CASE WHEN (chunk + 1) * 100 < n AND i >= (chunk + 1) * 100 - 12 THEN 1 - (i - (chunk + 1) * 100 + 12) / 11.0 ELSE 1 END AS v FROM m),
+s AS (SELECT job, second, i, sum(v) AS v FROM w GROUP BY 1, 2, 3)
+SELECT job, second, count(*) AS n, round(sum(v), 6) AS total, round(sum(v * v), 6) AS energy FROM s GROUP BY 1, 2
+""")
+def arr_overlap_add(spark, sf_dir):
+    def less_mean(pieces: DataFrame) -> DataFrame:
+        return pieces.withColumn("samples", numeric.let("samples", lambda s: numeric.let(arrays.array_mean(s), lambda m: F.transform(s, lambda v: v - m))))
+
+    pieces = less_mean(tracks.chunks(_track(spark, sf_dir), 64, 100, 12))
+    out = tracks.overlap_add(pieces, 64, 100, 12)
+    total = lambda f: F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + f(v)), 6)
+    return out.select("job", "second", F.size("samples").cast("long").alias("n"), total(lambda v: v).alias("total"), total(lambda v: v * v).alias("energy"))
