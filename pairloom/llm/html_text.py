@@ -10,7 +10,8 @@ The log-odds have two parts. What the text and its tag say (length, links, punct
 `learn` on the blocks of a bounded sample of pages, TRAIN_PAGES of at most TRAIN_CHARS characters: blocks in an article or
 main element are its content, blocks in elements that hold no article text its boilerplate. Its weights have a Gaussian
 prior at PRIOR, so pages without such elements leave them there. What the path says (article, main, nav, names such as
-sidebar) is a bounded amount for the context, CONTEXT. The name or form of an element that holds most of the page's text
+sidebar) is a bounded amount for the context, CONTEXT; a name of several words counts if all of them are names or say where something
+stands, and a heading's own name never does. The name or form of an element that holds most of the page's text
 says nothing, and an article or main element below such a name is free of it where it holds the page's larger part.
 
 A page is read in one pass without going back: each character is looked at a bounded number of times, and end tags look up
@@ -18,7 +19,8 @@ what is open instead of scanning for it.
 
 Defined cases: a null or empty page, or an empty table, gives an empty text or table. Unclosed and misnested tags are
 closed as browsers do for paragraphs, list items and table parts; a stray end tag is ignored; an unclosed comment, tag,
-script or style runs to the end. Repeated rows are treated alike. Blocks that both labels suit equally well are boilerplate.
+script or style runs to the end. A page of short blocks only, a list or a few words, keeps those that no element and no links
+speak against. Repeated rows are treated alike. Blocks that both labels suit equally well are boilerplate.
 `extract` keeps all other columns; `text` and `n_chars` of the input are replaced.
 """
 
@@ -38,6 +40,7 @@ from .memory import text_batches
 #: Where a tag ends: at the first > outside of quoted attribute values.
 TAG_PART = re.compile(r"=\s*([\"'])|>")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+COMMENT_START, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Element names by their role in HTML.
@@ -67,6 +70,11 @@ HOME = frozenset(["article", "main"])
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner bottombar breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer form gdpr header legal links login masthead menu metanav modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup print promo promoted promotion rail reactions recommend recommended register related remark replies reply respond responses rss search share sharing shoutbox sidebar sidenav signin signup skip skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking warning widget widgets".split()
 )
+#: Words that say where something stands or what it is made of: beside one of BAD_NAMES they leave the name as it is. A name with
+#: any other word, such as one made of a heading's words, says nothing.
+PLACE_NAMES = frozenset(
+    "above after all and area article articles aside bar below big block body bottom box btn button buttons card cards center col column columns container content desktop entry extra fixed float floating global grid group hidden icon icons image inline inner item items js latest layout left level line list lists main media menus middle mini mobile module more most my news of on outer overlay page pages panel popular post posts primary quick read reader readers recent right row secondary section sections side single site slider slot small sticky stories story strip sub tab table tabs tertiary text the title to top unit user users vertical view web website widget wrap wrapper you your zone".split()
+)
 GOOD_NAMES = frozenset("article articlebody body content copy entry hentry main page paragraph post prose story text".split())
 #: First parts of names that tell a page's layout, such as has-sidebar.
 LAYOUT = frozenset("has no not with without".split())
@@ -99,14 +107,18 @@ class Element:
         self.mark = self if tag in MARKS or (self.named and tag not in HOME) else parent.mark if parent else None
 
     def _read(self, attributes: str) -> None:
-        names = []
+        names: list[str] = []
+        bad: set[str] = set()
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 for token in value.split():
                     parts = NAME.findall(token)
                     if len(parts) == 1 or (parts and parts[0].lower() not in LAYOUT):
-                        names += parts
+                        low = [x.lower() for x in parts]
+                        names += low
+                        if all(x in BAD_NAMES or x in PLACE_NAMES for x in low):
+                            bad.update(x for x in low if x in BAD_NAMES)
             elif key == "role" and value.lower() == "form":
                 self.named = True
             elif key == "role" and value.lower() in AWAY_ROLES:
@@ -114,11 +126,10 @@ class Element:
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 self.away = True
         if names and self.tag not in ("html", "body"):
-            low = {x.lower() for x in names}
-            # a heading or header of the article itself may be named so
-            if (low - {"header"} if self.home or self.tag in HEADINGS else low) & BAD_NAMES:
-                self.named = True
-            elif low & GOOD_NAMES and self.tag not in HOME:
+            # a header of the article itself may be named so; a heading's name is made of its own words
+            if bad - {"header"} if self.home else bad:
+                self.named = self.tag not in HEADINGS
+            elif not GOOD_NAMES.isdisjoint(names) and self.tag not in HOME:
                 self.good = True
 
 
@@ -198,6 +209,13 @@ def _tag_end(html: str, at: int) -> int:
     return -1
 
 
+def _comment_end(html: str, at: int) -> int:
+    """The place after the comment whose text begins at `at`, or 0. <!--> and <!---> are whole comments."""
+    short = COMMENT_START.match(html, at)
+    found = short or COMMENT_END.search(html, at)
+    return found.end() if found else 0
+
+
 def _pieces(html: str) -> Iterator[tuple[str, str, str]]:
     """Text as ("text", raw, ""), tags as ("start" or "end", name, attributes); raw elements as ("raw", name, "")."""
     at, end = 0, len(html)
@@ -209,10 +227,10 @@ def _pieces(html: str) -> Iterator[tuple[str, str, str]]:
             return
         ahead = html[lt + 1]
         if ahead in "!?" or (ahead == "/" and TAG_NAME.match(html, lt + 2) is None):
-            closed = html.find("-->", lt + 4) + 3 if html.startswith("!--", lt + 1) else html.find(">", lt) + 1
+            closed = _comment_end(html, lt + 4) if html.startswith("!--", lt + 1) else html.find(">", lt) + 1
             if lt > at:
                 yield "text", html[at:lt], ""
-            if closed < (3 if html.startswith("!--", lt + 1) else 1):
+            if not closed:
                 return
             at = closed
             continue
@@ -230,10 +248,12 @@ def _pieces(html: str) -> Iterator[tuple[str, str, str]]:
         at, tag, attributes = closed, name[0].lower(), html[name.end() : closed - 1]
         if kind == "start" and tag in RAW and not attributes.endswith("/"):
             if tag not in closers:
-                closers[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+                closers[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
             found = closers[tag].search(html, at) if closers[tag] is not None else None
             if found is not None:
-                at = found.end()
+                at = _tag_end(html, found.end())
+                if at < 0:
+                    return
             else:
                 closers[tag] = None  # nor is there one further on
                 if tag in TO_THE_END:
@@ -335,6 +355,8 @@ def settle(bs: list[Block]) -> None:
 CONTEXT = {"home": 3.5, "good": 1.5, "mark": -4.0, "away": -4.0}
 #: The most that a block's text and tag may say either way.
 TEXT_BOUND = 3.0
+#: What is added for blocks that no element speaks against, where otherwise none of a page's blocks were content.
+ALONE = 2.0
 FEATURES = ("one", "words", "sentence", "links", "paragraph", "heading", "item", "copyright")
 #: Log-odds of the text's features before any page is seen: long runs that end like sentences are content, links aren't.
 PRIOR = (-0.6, 1.0, 0.8, -4.0, 0.6, 0.4, -0.4, -3.0)
@@ -484,7 +506,13 @@ def labels(bs: list[Block], weights: Sequence[float] = PRIOR) -> list[bool]:
     """Whether each block is content."""
     settle(bs)
     ties, extra = edges(bs)
-    return minimum_cut([score(b, weights) for b in bs] + [0.0] * extra, ties)[: len(bs)]
+    scores = [score(b, weights) for b in bs]
+    found = minimum_cut(scores + [0.0] * extra, ties)[: len(bs)]
+    free = [not b.home.away and b.home.mark is None for b in bs]
+    if any(found) or not any(free):
+        return found
+    # nothing but short blocks: what no element speaks against is likelier than usual
+    return minimum_cut([x + ALONE if f else x for f, x in zip(free, scores)] + [0.0] * extra, ties)[: len(bs)]
 
 
 def main_text(html: str | None, weights: Sequence[float] = PRIOR) -> str:

@@ -220,15 +220,18 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = MAX_FIT_ROWS) -> DecisionList:
     """A list that drops what is like rows labelled 0; from the statistics of at most `rows` labelled documents.
 
-    Labels of documents that the base rules drop anyway don't count.
+    Labels of documents that the base rules drop anyway don't count. Of rows that share a doc_id the least text by its
+    checksum, then by itself, is the document, so repeated rows change nothing; the driver gets at most `rows` rows.
     """
     marks = labels.select("doc_id", F.col(label).alias("_label")).where(F.col("doc_id").isNotNull() & F.col("_label").isin(0, 1))
     chosen = marks.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    stats = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_d")).select("doc_id", "_label", "_d.text")
+    stats = with_statistics(one)
     names = list(FEATURES)
-    got = stats.select("doc_id", "_label", base_failed().alias("_failed"), *[feature(f).alias(f) for f in names]).collect()
+    got = stats.select(F.xxhash64("doc_id", F.lit(7)).alias("_place"), "_label", base_failed().alias("_failed"), *[feature(f).alias(f) for f in names]).collect()
     got = [r for r in got if not r["_failed"]]
-    got.sort(key=lambda r: (hash((r["doc_id"], 7)), *[r[f] for f in names]))
+    got.sort(key=lambda r: (r["_place"], *[r[f] for f in names]))
     x = np.array([[r[f] for f in names] for r in got], float).reshape(len(got), len(names))
     return learn(x, np.array([r["_label"] == 0 for r in got], bool), names)
 

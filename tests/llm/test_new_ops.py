@@ -216,3 +216,25 @@ def test_divergence_against_brute_force(spark):
 def test_shares_are_exact_above_long(spark):
     got = spark.sql("SELECT 90000000000000000L AS n, 100000000000000000L AS total, 7L AS kept").select(divergence.share("n", "total", "kept")).first()[0]
     assert got == 1 + 10**9 * (90000000000000000 + 5) // (100000000000000000 + 35)
+
+
+# -- labels that stand several times -------------------------------------------
+
+
+def test_repeated_labelled_rows_change_nothing(spark, monkeypatch):
+    """However often a labelled document stands in the table, it counts once, and no more rows come to the driver."""
+    from pairloom.llm import quality_classifier, quality_rules
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 80)) if i % 2 else " ".join(rng.choice(["buy", "now", "!!!", "$$"], 80))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    once, often = (spark.createDataFrame(rows + [rows[0]] * k + [(1, "Another text of one id " * 30)] * (1 if k else 1), "doc_id long, text string") for k in (0, 700))
+    lists = [quality_rules.fit(d, labels) for d in (once, often, often.repartition(7))]
+    assert lists[0] == lists[1] == lists[2]
+    keys = once.selectExpr("doc_id", "double(doc_id % 2) + doc_id / 1000 AS key")
+    many = keys.union(keys.where("doc_id = 0").crossJoin(spark.range(900)).select("doc_id", "key"))
+    monkeypatch.setattr(quality_classifier, "MAX_TARGET_ROWS", 60)
+    for most in (60, 1000):
+        k = quality_classifier.wanted(keys, labels, most=most)
+        assert k == quality_classifier.wanted(many, labels, most=most) == quality_classifier.wanted(many.repartition(5), labels, most=most)
