@@ -191,16 +191,3 @@ def stretch(rate: int):
         return pd.Series([time_scaled(np.asarray(s, float), rate, f).tolist() if s is not None else None for s, f in zip(samples, factor, strict=True)])
 
     return run
-
-
-def edit_track(f0: str | Column, target: str | Column, level_shift: Column, span: Column) -> Column:
-    """An F0 track moved by at most 3 semitones and scaled about its level by 0.3 to 3, kept in the plausible band;
-    unvoiced frames (0) stay 0. `target` is the track's own level in semitones."""
-    shift, scale = clamp(level_shift, -3.0, 3.0), clamp(span, 0.3, 3.0)
-    level = col(target)
-
-    def edit(hz: Column) -> Column:
-        st = 12 * F.log2(hz / 100.0)
-        return clamp(100.0 * F.pow(F.lit(2.0), (level + shift + (st - level) * scale) / 12.0), F0_LOW, F0_HIGH)
-
-    return F.transform(col(f0), lambda hz: F.when(hz > 0, edit(hz)).otherwise(0.0))

@@ -37,7 +37,7 @@ def sample_keys(rows: DataFrame, key: str, n: int, by: list[str], seed: int) ->
     from pyspark.sql import Window as W
 
     keys = rows.select(*by, key).distinct()
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256), key))
     return rows.join(keys.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r"), [*by, key], "left_semi")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..functions import arrays, numeric, text
+from ..functions import arrays, numeric, pitch, text
 from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline, tracks
 
 from ..streaming import jobs
@@ -715,7 +715,10 @@ def srt_pick_shorter(spark, sf_dir):
     return selection.pick_shorter(good, ["conv_id"], "text", "score", "room", "turn")
 
 
-@query()
+@query("""
+WITH k AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('498|' || doc_id), doc_id) AS r FROM (SELECT DISTINCT lang, doc_id FROM documents))
+SELECT lang, doc_id, source FROM documents SEMI JOIN (SELECT * FROM k WHERE r <= 20) USING (lang, doc_id)
+""")
 def smp_sample_keys(spark, sf_dir):
     return resume.sample_keys(table(spark, sf_dir, "documents", "lang", "doc_id", "source"), "doc_id", 20, ["lang"], 498)
 
@@ -894,3 +897,14 @@ def arr_overlap_add(spark, sf_dir):
     out = tracks.overlap_add(pieces, 64, 100, 12)
     total = lambda f: F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + f(v)), 6)
     return out.select("job", "second", F.size("samples").cast("long").alias("n"), total(lambda v: v).alias("total"), total(lambda v: v * v).alias("energy"))
+
+
+@query("""
+SELECT s_suppkey, 80 + s_suppkey * 37 % 300 AS hz, true AS near, true AS voiced, 16 AS frames, 3 AS n_words FROM supplier
+""")
+def arr_pitch(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier", "s_suppkey").withColumn("hz", 80 + F.col("s_suppkey") * 37 % 300)
+    wave = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: 0.3 * F.sin(2 * F.pi() * i * F.col("hz") * h / 16000.0))
+    sound = F.zip_with(wave(1), wave(2), lambda a, b: a + 0.5 * b)
+    told = s.select("s_suppkey", "hz", pitch.track(sound, F.lit(16000)).alias("t")).withColumn("p", pitch.prosody("t", F.lit("three short words")))
+    return told.select("s_suppkey", "hz", (F.abs(F.col("p.f0_median_hz") / F.col("hz") - 1) < 0.01).alias("near"), (F.col("p.voiced_ratio") > 0.9).alias("voiced"), F.size("t.f0").alias("frames"), F.col("p.n_words").alias("n_words"))
