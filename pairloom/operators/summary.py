@@ -221,6 +221,12 @@ def job_speakers(jobs: DataFrame) -> DataFrame:
     return seg.groupBy("job_id", "speaker").agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("final_seconds") > 0).alias("voiced"), F.sum("original_seconds").alias("seconds"), F.avg("similarity").alias("similarity"))
 
 
+def job_similarity(speakers: DataFrame, by: list[str], similarity: str = "similarity", voiced: str = "voiced") -> DataFrame:
+    """Mean similarity of a job's speakers, each weighing as many segments as are voiced; speakers without a score leave out
+    their weight, and a job whose scored speakers have no voiced segment has none."""
+    return speakers.groupBy(*by).agg(weighted_mean(similarity, voiced).alias("similarity"))
+
+
 def remaining_time(steps: DataFrame, by: str, order: str, seconds: str, total: str, last: int = 5, margin: float = 1.14) -> DataFrame:
     """After each step, the median of the last steps' seconds (never the first step's) times what remains times a margin;
     NULL before the third step."""

@@ -908,3 +908,14 @@ def arr_pitch(spark, sf_dir):
     sound = F.zip_with(wave(1), wave(2), lambda a, b: a + 0.5 * b)
     told = s.select("s_suppkey", "hz", pitch.track(sound, F.lit(16000)).alias("t")).withColumn("p", pitch.prosody("t", F.lit("three short words")))
     return told.select("s_suppkey", "hz", (F.abs(F.col("p.f0_median_hz") / F.col("hz") - 1) < 0.01).alias("near"), (F.col("p.voiced_ratio") > 0.9).alias("voiced"), F.size("t.f0").alias("frames"), F.col("p.n_words").alias("n_words"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS job, l_suppkey % 3 AS speaker, count(*) FILTER (WHERE l_linenumber % 4 <> 0) AS voiced, avg(CASE WHEN l_linenumber % 3 <> 0 THEN l_discount::DOUBLE / 3 END) AS similarity FROM lineitem GROUP BY 1, 2)
+SELECT job, round(sum(voiced * similarity) / nullif(sum(CASE WHEN similarity IS NOT NULL THEN voiced END), 0), 6) AS similarity FROM s GROUP BY 1
+""")
+def agg_job_similarity(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_discount")
+    n = F.col("l_linenumber")
+    speakers = l.groupBy(F.col("l_orderkey").alias("job"), (F.col("l_suppkey") % 3).alias("speaker")).agg(F.count_if(n % 4 != 0).alias("voiced"), F.avg(F.when(n % 3 != 0, F.col("l_discount").cast("double") / 3)).alias("similarity"))
+    return rounded(summary.job_similarity(speakers, ["job"]), "similarity")

@@ -185,3 +185,9 @@ def test_reconstruction_stats(spark):
     rmse = np.sqrt(((a - back) ** 2).mean(1))
     assert got.contours == 21 and got.r_mean == pytest.approx(np.mean(r))
     assert (got.r_median, got.r_p10, got.rmse_median) == pytest.approx((np.median(r), np.percentile(r, 10), np.median(rmse)))
+
+
+def test_job_similarity(spark):
+    rows = [("a", 3, 0.9), ("a", 1, 0.5), ("a", 7, None), ("b", 0, 0.4), ("c", 2, None), (None, 1, 0.25)]
+    got = {r.job: r.similarity for r in summary.job_similarity(spark.createDataFrame(rows, "job string, voiced long, similarity double"), ["job"]).collect()}
+    assert got == {"a": pytest.approx(0.8), "b": None, "c": None, None: 0.25}
