@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import arrays, numeric, pitch, text
-from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline, tracks
+from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline, tracks, training
 
 from ..streaming import jobs
 
@@ -919,3 +919,38 @@ def agg_job_similarity(spark, sf_dir):
     n = F.col("l_linenumber")
     speakers = l.groupBy(F.col("l_orderkey").alias("job"), (F.col("l_suppkey") % 3).alias("speaker")).agg(F.count_if(n % 4 != 0).alias("voiced"), F.avg(F.when(n % 3 != 0, F.col("l_discount").cast("double") / 3)).alias("similarity"))
     return rounded(summary.job_similarity(speakers, ["job"]), "similarity")
+
+
+# -- networks ----------------------------------------------------------------
+
+
+def _curves(spark, sf_dir) -> DataFrame:
+    """Vectors as curves of 64 points, their first eight values as scalars, two of them scaled up as targets, by label."""
+    v = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn("e", F.col("embedding").cast("array<double>"))
+    return v.select("vec_id", "label", F.when(F.col("vec_id") % 5 == 0, "dev").otherwise("train").alias("split"), F.slice("e", 1, 8).alias("x"), F.col("e").alias("c"), F.array(30 * F.col("e")[0], 4 * F.col("e")[1]).alias("y"))
+
+
+@query("""
+WITH v AS (SELECT label, 30 * embedding[1]::DOUBLE AS a, 4 * embedding[2]::DOUBLE AS b FROM embeddings WHERE label IS NOT NULL),
+h AS (SELECT label, CASE WHEN abs(a) < 1 THEN a * a / 2 ELSE abs(a) - 0.5 END AS ha, CASE WHEN abs(b) < 1 THEN b * b / 2 ELSE abs(b) - 0.5 END AS hb,
+             greatest(-1, least(1, -a)) AS ga, greatest(-1, least(1, -b)) AS gb FROM v)
+SELECT label::VARCHAR AS label, seed, count(*) AS n, round(sum(ha + 0.3 * hb), 6) AS loss, round(sum(ga), 6) AS slope_a, round(sum(0.3 * gb), 6) AS slope_b
+FROM h, (SELECT unnest([1, 2])::BIGINT AS seed) GROUP BY ALL
+""")
+def ml_gradient(spark, sf_dir):
+    """Loss and the last layer's slopes of untrained convolutions, for every label and seed: what an untrained network predicts
+    is nothing, so SQL can say both."""
+    shape = training.Shape("curve", 8, 64, 2, hidden=16)
+    rows = training.usable(_curves(spark, sf_dir), shape, "label", ["vec_id"], "x", "c", "y", "split")
+    keys = [str(r.label) for r in table(spark, sf_dir, "embeddings", "label").where("label is not null").distinct().collect()]
+    got = training.sums(rows, shape, {(k, seed): shape.start(seed) for k in keys for seed in (1, 2)}, [1.0, 0.3])
+    return rounded(got.select(F.col("k").alias("label"), "seed", "n", "loss", F.element_at("gradient", -2).alias("slope_a"), F.element_at("gradient", -1).alias("slope_b")), "loss", "slope_a", "slope_b")
+
+
+@query()
+def ml_training(spark, sf_dir):
+    """Three epochs of convolutions of two seeds over all vectors: the development losses by epoch."""
+    shape = training.Shape("curve", 8, 64, 2, hidden=16)
+    rows = _curves(spark, sf_dir).withColumn("all", F.lit("all"))
+    made = training.train(rows, shape, "all", ["vec_id"], "x", "c", "y", [1, 2], weights=[1.0, 0.3], batch=100_000, epochs=3, rate=0.01)
+    return made.select("seed", F.posexplode("losses").alias("epoch", "loss")).select("seed", (F.col("epoch") + 1).alias("epoch"), F.round("loss", 6).alias("loss"))
