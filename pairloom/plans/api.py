@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gate, graph, inference, pairing, resume, summary, systems, text_metrics
+from ..functions import arrays
+from ..operators import extended, gate, graph, inference, pairing, resume, summary, systems, text_metrics
 from ..sources import tables
 
 #: Named feature subsets.
-FEATURE_SETS = {"t0": pairing.FEATURES_T0, "t1": pairing.FEATURES_T1}
+FEATURE_SETS = {"t0": pairing.FEATURES_T0, "t1": pairing.FEATURES_T1, "full": extended.FEATURES_FULL}
 
 
 def inspect(spark: SparkSession, root: str) -> DataFrame:
@@ -86,6 +87,37 @@ def report(features: DataFrame, features_named: str = "t1") -> dict[str, DataFra
     return out
 
 
+def extended_study(frame: DataFrame, arms: tuple[str, ...] = (), split: str = "test", sets: tuple[str, ...] = ("t0", "t1", "full"), draws: int = 2000) -> dict[str, DataFrame]:
+    """All systems of both directions and all targets in one table, and the shapes' correlations.
+
+    frame: a directional frame with the inputs of `extended.with_full` and the contours s_shape and t_shape. arms: columns of
+    networks' predictions (as they were trained or as deployed), each an array of the targets in their order, the level, then
+    the target contour's coefficients; they are the primary family but for those that end in `_deploy`. A direction with fewer
+    than ten rows of the split is left out; where none is left, that is an error.
+    """
+    wide = None
+    n = {(r.direction, r.split): r["count"] for r in frame.where(F.col("split").isin("train", "dev", split)).groupBy("direction", "split").count().collect()}
+    least = extended.LEAST_ROWS
+    judged_here = [d for d in ("en-es", "es-en") if n.get((d, split), 0) >= least and n.get((d, "train"), 0) and n.get((d, "dev"), 0)]
+    if not judged_here:
+        raise ValueError(f"no direction with {least} rows of {split}")
+    named = {f"ridge_{s}": list(FEATURE_SETS[s]) for s in sets}
+    for direction in judged_here:
+        own = frame.where(F.col("direction") == direction)
+        for i, target in enumerate(pairing.TARGETS):
+            rows = gate.complete(own, [f"copy_{target}", f"target_{target}"])
+            made = extended.with_predictions(rows, named, f"copy_{target}", f"target_{target}").where(F.col("split") == split)
+            part = made.select("direction", F.lit(target).alias("target"), "speaker", F.col(f"target_{target}").cast("double").alias("truth"), "B0", "B1", "B2", *named, *[F.get(F.col(a), F.lit(i)).alias(a) for a in arms])
+            wide = part if wide is None else wide.unionByName(part)
+    primary = tuple(a for a in arms if not a.endswith("_deploy"))
+    table = extended.judged(wide, ["direction", "target"], ["B0", "B1", "B2", *named, *arms], "truth", "speaker", primary=primary, draws=draws)
+    coded = frame.withColumns({"_s": arrays.dct_encode(F.col("s_shape")), "_t": arrays.dct_encode(F.col("t_shape"))})
+    coded = extended.decoded_with_offset(coded.where(F.col("direction").isin(judged_here)), ["direction"], "_s", "_t").where(F.col("split") == split)
+    first = len(pairing.TARGETS) + 2
+    shapes = {"B0": F.col("s_shape"), "B2": F.col("B2_shape")} | {a: arrays.dct_decode(F.slice(a, first, arrays.COEFFICIENTS)) for a in arms}
+    return {"table": table, "families": extended.families(table), "shape": extended.shape_scores(coded, ["direction"], shapes, "t_shape")}
+
+
 def numbers(spark: SparkSession, results: str, features: DataFrame) -> dict[str, DataFrame]:
     """The numbers of the pipeline's results and of the human pairs, each as rows of a name and a value."""
     return {"pipeline": summary.pipeline_numbers(tables.read_results(spark, results)), "human": summary.human_numbers(features)}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import arrays, numeric, pitch, text
-from ..operators import clusters, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline, tracks, training
+from ..operators import clusters, extended, gate, graph, inference, pairing, quantiles, resume, selection, summary, systems, text_metrics, timeline, tracks, training
 
 from ..streaming import jobs
 
@@ -921,6 +921,40 @@ def agg_job_similarity(spark, sf_dir):
     return rounded(summary.job_similarity(speakers, ["job"]), "similarity")
 
 
+# -- extended study ----------------------------------------------------------
+
+
+@query("""
+WITH f AS (SELECT l_returnflag, CASE WHEN l_suppkey % 10 < 6 THEN 'train' WHEN l_suppkey % 10 < 8 THEN 'dev' ELSE 'test' END AS split, l_suppkey, l_quantity * 1500 AS c, l_extendedprice AS t FROM lineitem),
+tr AS (SELECT avg(t) AS m, avg(t - c) AS o FROM f WHERE split = 'train'),
+w AS (SELECT l_returnflag, l_suppkey, t, unnest([{'s': 'B0', 'p': c::DOUBLE}, {'s': 'B1', 'p': m}, {'s': 'B2', 'p': c + o}, {'s': 'twin', 'p': c + o + 1e-7}]) AS x, abs(c + o - t) AS b FROM f, tr WHERE split = 'test'),
+e AS (SELECT l_returnflag, x.s AS system, l_suppkey, abs(x.p - t) AS e, b FROM w),
+g AS (SELECT l_returnflag, system, count(*) AS n, avg(e) AS mae, median(e) AS medae, avg(b) AS base, bool_and(abs(e - b) <= 1e-9 + 1e-6 * abs(b)) AS same, count(DISTINCT l_suppkey) AS clusters FROM e GROUP BY 1, 2)
+SELECT l_returnflag, system, n, round(mae, 3) AS mae, round(medae, 3) AS medae, round_even(100 * (mae - base) / base, 2) + 0.0 AS change, CASE WHEN system <> 'B2' THEN same END AS equivalent,
+       CASE WHEN system <> 'B2' THEN clusters END AS clusters, system = 'B1' AS is_primary, CASE WHEN system = 'twin' THEN 1.0 END AS p_twin FROM g
+""")
+def st_extended(spark, sf_dir):
+    flags = table(spark, sf_dir, "lineitem", "l_returnflag", "l_suppkey", "l_quantity", "l_extendedprice")
+    part = F.col("l_suppkey") % 10
+    frame = flags.select("l_returnflag", "l_suppkey", F.when(part < 6, "train").when(part < 8, "dev").otherwise("test").alias("split"), (F.col("l_quantity") * 1500).alias("copy"), F.col("l_extendedprice").alias("target"))
+    rows = systems.baselines(frame, [], "copy", "target").where("split = 'test'").withColumn("twin", F.col("B2") + 1e-7)
+    got = extended.judged(rows, ["l_returnflag"], ["B0", "B1", "B2", "twin"], "target", "l_suppkey", primary=("B1",), draws=200)
+    told = rounded(got.withColumn("p_twin", F.when(F.col("system") == "twin", F.col("p"))), "mae", "medae", places=3)
+    return told.select("l_returnflag", "system", "n", "mae", "medae", (F.col("mae_vs_B2_pct") + 0.0).alias("change"), "equivalent", F.col("n_clusters").alias("clusters"), "is_primary", "p_twin")
+
+
+@query("""
+WITH u AS (SELECT label, vec_id, unnest(embedding) AS t, unnest(list_reverse(embedding)) AS p, unnest(list_transform(embedding, lambda x: x * x)) AS square FROM embeddings),
+r AS (SELECT label, vec_id, corr(t::DOUBLE, p::DOUBLE) AS reversed, corr(t::DOUBLE, square::DOUBLE) AS square FROM u GROUP BY 1, 2),
+l AS (SELECT label, 'reversed' AS system, reversed AS r FROM r UNION ALL SELECT label, 'square', square FROM r UNION ALL SELECT label, 'flat', NULL FROM r)
+SELECT label, system, count(r) AS n, round(avg(r), 6) AS shape_r_mean, round(median(r), 6) AS shape_r_median FROM l GROUP BY 1, 2
+""")
+def st_shape_scores(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings", "label", "embedding")
+    arms = {"reversed": F.reverse("embedding"), "square": F.transform("embedding", lambda x: x * x), "flat": F.transform("embedding", lambda x: F.lit(1.0))}
+    return rounded(extended.shape_scores(v, ["label"], arms, "embedding"), "shape_r_mean", "shape_r_median")
+
+
 # -- networks ----------------------------------------------------------------
 
 
