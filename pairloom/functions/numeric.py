@@ -38,6 +38,13 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def signed_round(x: str | Column, places: int) -> Column:
+    """x to so many places, halves away from zero, as SQL's round does it: what is negative and rounds to nothing is -0.0, which
+    F.round makes 0.0."""
+    scale = float(10**places)
+    return F.signum(col(x)) * F.round(F.abs(col(x)) * scale) / scale
+
+
 def semitones(hz: str | Column) -> Column:
     """Semitones above 100 Hz; NULL at or below 0."""
     x = col(hz)

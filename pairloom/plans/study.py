@@ -779,7 +779,7 @@ SELECT vec_id, list_transform([{_DCT}], lambda x: round(x, 6)) AS coefficients F
 """)
 def arr_dct(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return e.select("vec_id", F.transform(arrays.dct_encode("embedding"), lambda x: F.round(x, 6)).alias("coefficients"))
+    return e.select("vec_id", F.transform(arrays.dct_encode("embedding"), lambda x: numeric.signed_round(x, 6)).alias("coefficients"))
 
 
 @query("""

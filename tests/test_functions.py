@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import arrays, numeric, text
 from pairloom.operators import text_metrics
+from pairloom.plans import study
 
 
 def one(spark, *columns, rows=None, schema=None):
@@ -21,6 +23,35 @@ def test_numbers(spark):
     assert one(spark, numeric.min_speaker_seconds(F.lit(1.0)), numeric.min_speaker_seconds(F.lit(100.0))) == [1.5, 4.0]
 
 
+def test_signed_round(spark):
+    values = [-3e-7, 3e-7, -0.0, 0.0, -5e-7, 1.2345675, -2.5, None, math.inf]
+    got = one(spark, *[numeric.signed_round(F.lit(v).cast("double"), 6) for v in values])
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    assert [str(v) for v in got] == [str(v) for v in want] and str(got[0]) == "-0.0"
+    assert one(spark, numeric.signed_round(F.lit(-2.5), 0), numeric.signed_round(F.lit(2.5), 0)) == [-3.0, 3.0]
+
+
+def duck_rows(name, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return {r[0]: [str(v) for v in r[1]] for r in con.execute(study.ORACLES[name]).fetchall()}
+
+
+def nearly_nothing(spark, folder):
+    """Vectors whose coefficients and medians are negative and round to nothing."""
+    rows = [(k, [-v] * 64) for k, v in enumerate((2e-7, 4e-7, 0.0))] + [(3, [-5e-8 * math.cos(math.pi * (2 * i + 1) / 128) for i in range(64)])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_dct_of_nearly_nothing(spark, tmp_path):
+    """The signs of coefficients that round to nothing are those of the SQL."""
+    folder = nearly_nothing(spark, tmp_path)
+    got = {r.vec_id: [str(v) for v in r.coefficients] for r in study.QUERIES["arr_dct"](spark, folder).collect()}
+    # the other coefficients cancel, and have either sign
+    assert got[3][0] == duck_rows("arr_dct", folder)[3][0] == "-0.0"
+
+
 def test_seeds(spark):
     pair = F.lit("EN_001_10__ES_001_10")
     assert one(spark, numeric.seed31(pair, F.lit("en-es")), numeric.seed31(pair, F.lit("es-en"))) == [922575599, 1750702897]
