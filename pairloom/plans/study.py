@@ -788,7 +788,7 @@ SELECT vec_id, list_transform(range(64), lambda i: round(list_sort(list_transfor
 """)
 def arr_median_filter(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return e.select("vec_id", F.transform(arrays.median_filter("embedding", 5), lambda x: F.round(x.cast("double"), 6)).alias("smooth"))
+    return e.select("vec_id", F.transform(arrays.median_filter("embedding", 5), lambda x: numeric.signed_round(x.cast("double"), 6)).alias("smooth"))
 
 
 @query()

@@ -52,6 +52,13 @@ def test_dct_of_nearly_nothing(spark, tmp_path):
     assert got[3][0] == duck_rows("arr_dct", folder)[3][0] == "-0.0"
 
 
+def test_medians_of_nearly_nothing(spark, tmp_path):
+    """Medians that round to nothing keep their signs, as in the SQL."""
+    folder = nearly_nothing(spark, tmp_path)
+    got = {r.vec_id: [str(v) for v in r.smooth] for r in study.QUERIES["arr_median_filter"](spark, folder).collect()}
+    assert got == duck_rows("arr_median_filter", folder) and got[0] == ["-0.0"] * 64
+
+
 def test_seeds(spark):
     pair = F.lit("EN_001_10__ES_001_10")
     assert one(spark, numeric.seed31(pair, F.lit("en-es")), numeric.seed31(pair, F.lit("es-en"))) == [922575599, 1750702897]
