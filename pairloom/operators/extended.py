@@ -75,27 +75,29 @@ def judged(rows: DataFrame, by: list[str], names: list[str], truth: str, cluster
     change of mae in per cent, whether the errors are the same, the signed-rank test over rows and over clusters, the
     interval over resampled clusters; and Holm's adjustment of the clusters' p over all systems, and over `primary` alone.
 
-    A system whose errors are the baseline's has p of 1: a rank test of differences that are rounding finds an effect of no
-    size. The baseline itself has no tests. Rows without truth or the baseline's prediction take no part; rows without a
+    A system whose errors are the baseline's, or whose predictions are, has p of 1: a rank test of differences that are rounding
+    finds an effect of no size. Errors alone don't tell where the baseline is all but right: beside an error near 0 any rounding
+    of a prediction is large. `equivalent` speaks of errors. The baseline itself has no tests. Rows without truth or the baseline's prediction take no part; rows without a
     system's prediction none for that system.
     """
     whole = rows.select(*by, F.col(cluster).alias("_cluster"), finite(F.col(truth).cast("double")).alias("_truth"), *[finite(F.col(n).cast("double")).alias(n) for n in names])
     # predictions may be dear: they are worked out once for all that follows
     kept, _ = materialize(whole.where(F.col("_truth").isNotNull() & F.col(baseline).isNotNull()), "predictions")
-    base = kept.withColumn("_base", F.abs(F.col(baseline) - F.col("_truth")))
-    long = systems.long_systems(base, [*by, "_cluster", "_truth", "_base"], names).where("prediction is not null")
+    base = kept.withColumns({"_base": F.abs(F.col(baseline) - F.col("_truth")), "_basis": F.col(baseline)})
+    long = systems.long_systems(base, [*by, "_cluster", "_truth", "_base", "_basis"], names).where("prediction is not null")
     long = long.withColumns({"_error": F.abs(F.col("prediction") - F.col("_truth"))}).withColumn("_difference", F.col("_error") - F.col("_base"))
     keys = [*by, "system"]
     other = long.where(F.col("system") != baseline)
     table = systems.versus_baseline(systems.error_metrics(long, keys, "prediction", "_truth"), by, "system", "mae", baseline)
     for part in (
         systems.equivalent(other, keys, "_error", "_base"),
+        systems.equivalent(other, keys, "prediction", "_basis").withColumnRenamed("equivalent", "_alike"),
         inference.signed_ranks(other, keys, "_difference").select(*keys, F.col("p").alias("p_rows")),
         inference.cluster_inference(other, keys, "_cluster", "_error", "_base", seed, draws),
     ):
         table = inference._same_key(table, part, keys)
-    same = F.coalesce(F.col("equivalent"), F.lit(False))
-    table = table.withColumns({c: F.when(same, 1.0).otherwise(F.col(c)) for c in ("p_rows", "p")}).withColumn("is_primary", F.col("system").isin(*primary) if primary else F.lit(False))
+    same = F.coalesce(F.col("equivalent") | F.col("_alike"), F.lit(False))
+    table = table.withColumns({c: F.when(same, 1.0).otherwise(F.col(c)) for c in ("p_rows", "p")}).withColumn("is_primary", F.col("system").isin(*primary) if primary else F.lit(False)).drop("_alike")
     table, _ = materialize(table, "judged")
     table = systems.holm(table, "p", out="holm_all").withColumn("_primary", F.when(F.col("is_primary"), F.col("p")))
     return systems.holm(table, "_primary", out="holm_primary").drop("_primary")

@@ -92,6 +92,16 @@ def test_judged_against_numpy(spark):
     assert (size.family_size, size.family_size_all) == (2, 3)
 
 
+def test_twin_of_a_baseline_that_is_all_but_right(spark):
+    """One error of the baseline is so small that the twin's rounding is large beside it: the errors differ, the predictions
+    don't, and p is 1."""
+    rows = [(f"s{i % 9}", 3e4 + i, 3e4 + i + (0.05 if i == 7 else 10.0 + i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "speaker string, truth double, B2 double").withColumns({"k": F.lit("k"), "twin": F.col("B2") + 1e-7, "other": F.col("B2") + 0.5})
+    got = {r.system: r for r in extended.judged(df, ["k"], ["B2", "twin", "other"], "truth", "speaker", draws=50).collect()}
+    assert not got["twin"].equivalent and got["twin"].p == got["twin"].p_rows == got["twin"].holm_all == 1.0
+    assert not got["other"].equivalent and got["other"].p < 0.01 and "_alike" not in got["twin"].asDict()
+
+
 def test_shapes(spark):
     rng = np.random.default_rng(1)
     t, p = rng.normal(size=(7, 64)), rng.normal(size=(7, 64))
