@@ -6,11 +6,10 @@ than LENGTH n-grams their mean times LENGTH: otherwise the longest documents' su
 largest sums of weight and Gumbel noise are a sample of k rows without replacement, by weight. Noise comes from a hash
 of doc_id and text, so reruns agree and equal rows stay together.
 
-The raw model counts all n-grams of all documents. The target model counts those of a bounded sample of labelled
-documents: the MAX_TARGET_ROWS with the smallest hash of doc_id. It is cross-fit: texts are dealt to FOLDS folds by their
-hash, and each row, labelled or not, is weighed by a model that has counted no text of its fold. Labelled rows' keys are
-so like those of other rows. By default k is as many rows as have keys above the cut that parts the labelled kinds best
-(`wanted`, on a sample bounded alike). Counts come to the driver as BUCKETS rows. The k-th key is found by histograms,
+The raw model counts all n-grams of all documents, the target model those of all documents labelled good. It is cross-fit: texts
+are dealt to FOLDS folds by their hash, and each row, labelled or not, is weighed by a model that has counted no text of its
+fold. Labelled rows' keys are so like those of other rows. By default k is as many rows as have keys above the cut that parts
+the labelled kinds best (`wanted`, from all labelled documents; its cuts are judged by windows inside bins). Counts come to the driver as BUCKETS rows. The k-th key is found by histograms,
 refined until few rows are left in its bin; no sort, no row list.
 
 Defined cases: a null or empty text has no n-grams and weight 0. Rows that tie with the k-th key are kept with it.
@@ -26,14 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .memory import text_batches, tidy
+from .near_dedup import _maybe
 from .store import materialize
 from .words import buffers, chunks, mix, words
 
 BUCKETS = 1 << 16
-#: Bound on the labelled rows that the target model is fitted on.
-MAX_TARGET_ROWS = 20_000
+#: Labelled documents that the target model and k are worked out from, those of smallest hash; None: all of them.
+MAX_TARGET_ROWS: int | None = None
+#: Bins of keys inside which cuts are judged.
+CUT_BINS = 4_096
 #: Parts of the texts; a row's target model leaves out its own part.
 FOLDS = 5
 #: Longer documents weigh as if they had this many n-grams.
@@ -109,10 +112,14 @@ def fold_models(texts: DataFrame) -> np.ndarray:
     return out.sum(axis=0) - out
 
 
-def target_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TARGET_ROWS) -> DataFrame:
+def target_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int | None = MAX_TARGET_ROWS) -> DataFrame:
     good = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+    if most is not None:
+        good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # a bitmap of fixed size thins the texts, so that those of other documents stay where they are; of the join's sides only
+    # the ids are held, and no text is sorted
+    ids = good.select(F.col("doc_id").cast("string").alias("rep"))
+    return _maybe(docs.select(F.col("doc_id").cast("string").alias("rep"), "text"), ids).join(ids.hint("shuffle_hash"), "rep").select("text")
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float = 5.0) -> np.ndarray:
@@ -178,19 +185,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
     return np.array([log_ratios(target, raw) for target in fold_models(target_texts(docs, labels, label))])
 
 
-def wanted(keys: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TARGET_ROWS, recall: float = 0.99) -> int:
+def wanted(keys: DataFrame, labels: DataFrame, label: str = "quality", most: int | None = MAX_TARGET_ROWS, recall: float = 0.99) -> int:
     """How many rows to draw: as many as have a key above the cut that parts labelled good from labelled bad keys best, of
-    those cuts that keep `recall` of the good. From at most `most` labelled documents, of rows that share a doc_id the one of
-    largest key; all rows where a kind of label lacks."""
+    those cuts that keep `recall` of the good. From all labelled documents, or `most` of them; of rows that share a doc_id the one
+    of largest key; all rows where a kind of label lacks."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = keys.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("key").alias("key"), F.first("_label").alias("_label")).collect()
-    good, bad = (np.sort([r["key"] for r in got if r["_label"] == x]) for x in (1, 0))
-    if not len(good) or not len(bad):
+    if most is not None:
+        marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    got = keys.join(marks, "doc_id").groupBy("doc_id").agg(F.max("key").alias("key"), F.first("_label").alias("_label"))
+    cuts, _ = materialize(got.groupBy("key").agg(F.count_if(F.col("_label") == 1).alias("good"), F.count_if(F.col("_label") == 0).alias("bad")), "cuts")
+    n_good, n_bad, lo, hi = cuts.agg(F.sum("good"), F.sum("bad"), F.min("key"), F.max("key")).first()
+    if not n_good or not n_bad:
         return keys.count()
-    cuts = np.unique(np.concatenate([good, bad]))
-    kept, passed = 1 - np.searchsorted(good, cuts) / len(good), 1 - np.searchsorted(bad, cuts) / len(bad)
-    cut = float(cuts[np.argmax(np.where(kept >= recall, kept - passed, -1.0))])
+    # good and bad keys below each cut: those of the bins before its own, and those before it in its bin
+    bins = cuts.withColumn("b", F.floor((F.col("key") - lo) / ((hi - lo) or 1.0) * CUT_BINS))
+    upto = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    per = bins.groupBy("b").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))  # CUT_BINS + 1 rows at most
+    before = per.select("b", *[F.coalesce(F.sum(x).over(upto), F.lit(0)).alias(f"{x}_before") for x in ("good", "bad")])
+    inside = W.partitionBy("b").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    below = {x: F.col(f"{x}_before") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in ("good", "bad")}
+    placed = bins.join(F.broadcast(before), "b").select("key", (1 - below["good"] / n_good).alias("kept"), (1 - below["bad"] / n_bad).alias("passed"))
+    worth = F.when(F.col("kept") >= recall, F.col("kept") - F.col("passed")).otherwise(-1.0)
+    cut = -placed.agg(F.max(F.struct(worth.alias("worth"), (-F.col("key")).alias("least")))["least"]).first()[0]
     return keys.where(F.col("key") >= cut).count()
 
 

@@ -238,3 +238,25 @@ def test_repeated_labelled_rows_change_nothing(spark, monkeypatch):
     for most in (60, 1000):
         k = quality_classifier.wanted(keys, labels, most=most)
         assert k == quality_classifier.wanted(many, labels, most=most) == quality_classifier.wanted(many.repartition(5), labels, most=most)
+
+
+def test_cut_and_target_from_all_labelled_rows(spark):
+    """More labelled documents than any bound had: the cut is the brute force's over all of them, and the target model counts all."""
+    from pairloom.llm import quality_classifier
+
+    rng = np.random.default_rng(11)
+    n = 30_000
+    mark = rng.integers(0, 2, n)
+    key = np.round(rng.normal(size=n) + 3 * mark, 3)  # with ties
+    keys = spark.createDataFrame([(i, float(key[i])) for i in range(n)] + [(n + 10 + i, float(i)) for i in range(-5, 6)], "doc_id long, key double")
+    labels = spark.createDataFrame([(i, int(mark[i])) for i in range(n)], "doc_id long, quality int")
+    good, bad = np.sort(key[mark == 1]), np.sort(key[mark == 0])
+    cuts = np.unique(key)
+    kept, passed = 1 - np.searchsorted(good, cuts) / len(good), 1 - np.searchsorted(bad, cuts) / len(bad)
+    cut = cuts[np.argmax(np.where(kept >= 0.99, kept - passed, -1.0))]
+    assert quality_classifier.wanted(keys, labels) == keys.where(f"key >= {cut}").count()
+    one = keys.selectExpr("doc_id", "1.5D AS key")
+    assert quality_classifier.wanted(one, labels) == one.count()
+    texts = keys.selectExpr("int(doc_id) AS doc_id", "concat('t', doc_id) AS text")
+    got = quality_classifier.target_texts(texts, labels)
+    assert got.count() == mark.sum() and {r.text for r in got.collect()} == {f"t{i}" for i in range(n) if mark[i]}
