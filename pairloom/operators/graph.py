@@ -3,7 +3,8 @@
 Components run as alternating large-star and small-star steps: each is a minimum by node, summed before the shuffle, and a
 join that links anew, in which a node with very many neighbours is broadcast instead of shuffled; so no task holds a
 component or a list of neighbours. Steps are written to the shared folder, so a lost executor costs a
-re-read; the loop ends when a step changes nothing, after about log2 of the largest component.
+re-read; the loop ends when a step changes nothing, after about log2 of the largest component. Up to FEW_LINKS links stay in
+one partition, where the same steps need no shuffle: dealing a megabyte to all partitions costs more than the steps.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from ..functions.numeric import strip
 from ..sources.store import materialize, release
 from .hot import join_sums
 
+#: Up to so many links, about a megabyte, the steps run in one partition.
+FEW_LINKS = 1 << 16
+
 
 def _star(edges: DataFrame, large: bool, many: int, paths: list[str]) -> DataFrame:
     """large: link each node's larger neighbours to the least of it and its neighbours; small, where all v are below u:
     the node and its other neighbours to the least one. many: rows of edges, about; paths: gets what the result reads."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    both = both.coalesce(1) if many <= FEW_LINKS else both
     least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    joined = join_sums(both, least, "u", "_n", 2 * many if large else many, paths)
+    joined = both.join(least, "u") if many <= FEW_LINKS else join_sums(both, least, "u", "_n", 2 * many if large else many, paths)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.least("_m", "u").alias("v"))
     else:
@@ -53,6 +58,8 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
             break
         seen = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if seen[0] <= FEW_LINKS:
+        return stars.union(stars.select(F.col("component").alias("node"), "component")).coalesce(1).distinct()
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
 
 

@@ -361,3 +361,25 @@ def test_components_of_stars_and_chains(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1101)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_links(spark, monkeypatch):
+    """Few links take few tasks, whatever the number of shuffle partitions, and the same components as links dealt out."""
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rng = random.Random(8)
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(x, 7) for x in range(400, 600)], "a long, b long").coalesce(1)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-links", "")
+        few = sorted(map(tuple, graph.components(links).collect()))
+        spark.sparkContext.setJobGroup("others", "")
+        track = spark.sparkContext.statusTracker()
+        stages = {k for j in track.getJobIdsForGroup("few-links") for k in track.getJobInfo(j).stageIds}
+        assert sum(i.numCompletedTasks for k in stages if (i := track.getStageInfo(k))) < 5 * 97
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(graph, "FEW_LINKS", 0)
+    assert sorted(map(tuple, graph.components(links).collect())) == few
