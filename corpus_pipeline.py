@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, mixing, near_dedup, quality_classifier, quality_rules
+from pairloom.llm.memory import short_groups
 from pairloom.llm.store import materialize
 
 
@@ -39,7 +43,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"))
 
 
-STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("near_dedup", dedup), ("mixing", mix), ("byte_bpe", encode)]
+def _light(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, with the size of row groups bounded also for what the caller writes of its result."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_groups(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _light(f)) for name, f in (("quality_classifier", classify), ("quality_rules", rules), ("near_dedup", dedup), ("mixing", mix), ("byte_bpe", encode))]
 
 #: SQL can't express n-gram models, the learned list or the permutations; tests hold the stages to brute force.
 ORACLE_SQL = None

@@ -1,4 +1,4 @@
-"""What keeps Python workers small: short batches, and memory given back between tasks, as workers live on."""
+"""What keeps tasks small: short batches and row groups, and memory given back between tasks, as workers live on."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from ..sources.store import GROUP_BYTES
+
 #: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_GROUP = "parquet.block.size"
 
 
 def tidy() -> None:
@@ -29,6 +32,13 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def short_groups(spark: SparkSession) -> None:
+    """Each task that writes Parquet holds a row group, by default of 128 MB, which eight tasks don't find room for in a heap
+    of 1 GB. Unless the session has a size of its own, whatever it writes gets groups of GROUP_BYTES."""
+    if spark.conf.get(_GROUP, None) is None and spark.sparkContext._jsc.hadoopConfiguration().get(_GROUP) is None:
+        spark.conf.set(_GROUP, str(GROUP_BYTES))
+
+
 @contextmanager
 def short_batches(spark: SparkSession) -> Iterator[None]:
     """text_batches for what runs inside; afterwards the session is as it was."""

@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Of a row group: each task that writes or reads a table holds one.
+GROUP_BYTES = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset, a temporary folder, in local mode only."""
@@ -35,7 +38,7 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark).rstrip('/')}/pairloom/{name}-{uuid.uuid4().hex}"
     fs, hadoop = _file_system(spark, path)
     fs.deleteOnExit(hadoop)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -6,6 +6,7 @@ import re
 import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -757,3 +758,24 @@ def test_mix_with_many_sources(spark, odd_docs, monkeypatch):
     few = sorted(map(str, mixing.mix(odd_docs, block=16).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(map(str, mixing.mix(odd_docs, block=16).collect())) == few
+
+
+def test_pipeline_row_groups(spark, tmp_path):
+    """What a stage's caller and materialize write comes in row groups far below 128 MB, of which each task holds one."""
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+    from pairloom.llm.store import materialize
+
+    spark.conf.unset("parquet.block.size")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 150), x -> sha2(concat(id, '-', x), 256)))").alias("text"))
+    rules = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "/root/testdata/sf0.001")
+    try:
+        rules.write.parquet(f"{tmp_path}/rules")
+        spark.conf.unset("parquet.block.size")
+        _, made = materialize(docs, "groups")
+        for folder in (tmp_path / "rules", Path(made.removeprefix("file:"))):
+            (file,) = folder.glob("*.parquet")
+            assert pq.ParquetFile(file).metadata.num_rows == 4000 and pq.ParquetFile(file).num_row_groups > 1
+    finally:
+        spark.conf.unset("parquet.block.size")
