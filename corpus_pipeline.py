@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, mixing, near_dedup, quality_classifier, quality_rules
-from pairloom.llm.memory import short_groups
+from pairloom.llm.memory import short_groups, short_reads
 from pairloom.llm.store import materialize
+from pairloom.session import workers_path
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _light(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """stage, with the size of row groups bounded also for what the caller writes of its result."""
+    """stage, with short batches of rows read, with the size of row groups bounded also for what the caller writes of its
+    result, and with this package on the path of Python workers, as stages may be called one by one."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        workers_path(spark)
         short_groups(spark)
+        short_reads(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -779,3 +779,45 @@ def test_pipeline_row_groups(spark, tmp_path):
             assert pq.ParquetFile(file).metadata.num_rows == 4000 and pq.ParquetFile(file).num_row_groups > 1
     finally:
         spark.conf.unset("parquet.block.size")
+
+
+def test_stages_alone(tmp_path):
+    """A stage called by itself, in a driver that was started elsewhere and without PYTHONPATH: workers find the package."""
+    import os
+    import subprocess
+
+    import corpus_pipeline
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.abspath(corpus_pipeline.__file__))!r})
+import corpus_pipeline
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {f"file://{tmp_path}/shared"!r}).getOrCreate()
+sf = "/root/testdata/sf0.001"
+print("rows", dict(corpus_pipeline.STAGES)["quality_classifier"](spark, spark.read.parquet(sf + "/documents.parquet"), sf).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-3000:]
+
+
+def test_pipeline_reads(spark, sf001):
+    """Stages read texts in short batches and small pieces, unless the session has settings of its own."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["byte_bpe"]
+    made = {"spark.sql.parquet.columnarReaderBatchSize": "512", "parquet.hadoop.vectored.io.enabled": "false", "parquet.read.allocation.size": "262144"}
+    own = {"spark.sql.parquet.columnarReaderBatchSize": "300", "parquet.hadoop.vectored.io.enabled": "true", "parquet.read.allocation.size": "1000000"}
+    try:
+        for name in made:
+            spark.conf.unset(name)
+        stage(spark, sf001, "/root/testdata/sf0.001")
+        assert {name: spark.conf.get(name) for name in made} == made
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        stage(spark, sf001, "/root/testdata/sf0.001")
+        assert {name: spark.conf.get(name) for name in own} == own
+    finally:
+        for name in made:
+            spark.conf.unset(name)
