@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import F0_HIGH, F0_LOW, col, finite, guarded_corr, pearson, semitones, strip
 from ..functions.arrays import COEFFICIENTS, POINTS, array_corr, dct_decode, dct_encode
+from ..sources.store import materialize
 from ..sources.tables import PROSODY, SCORES
 from .gate import gate
 from .quantiles import with_quantiles
@@ -238,6 +241,25 @@ def remaining_time(steps: DataFrame, by: str, order: str, seconds: str, total: s
     return recent.withColumn("eta_seconds", F.when(n >= 2, mid * (F.col(total) - F.col("_k")) * margin)).drop("_k", "_t", "_recent")
 
 
+def settled_means(rows: DataFrame, key: str, limits: dict[str, list[float]], order: list[str]) -> DataFrame:
+    """key and the mean of each column that limits names, not null ones only. Sums of doubles depend on the order of addition; where
+    that decides on which side of one of the column's limits a mean lies, its sum is taken row by row in the given order, so that
+    reruns agree. Only such keys' rows are sorted, and shuffled unless they are many; each of them goes through one task, which may spill.
+    """
+    aggs = [a for c in limits for a in (F.count(c).alias(f"_n_{c}"), F.avg(c).alias(c), F.avg(F.abs(F.col(c))).alias(f"_size_{c}"))]
+    means, _ = materialize(rows.groupBy(F.col(key).alias("_key")).agg(*aggs), "means")
+    # any two orders' means differ by less than 2 n 2^-53 of the mean size
+    near = [F.abs(F.col(c) - x) <= (4 * F.col(f"_n_{c}") + 16) * 2.0**-53 * F.col(f"_size_{c}") for c, at in limits.items() for x in at]
+    # written, so that a join knows its size and leaves all other rows where they are if it is small
+    open_keys, _ = materialize(means.where(reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in near])).select("_key"), "open-keys")
+    run = W.partitionBy("_key").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    met = rows.join(open_keys, F.col(key).eqNullSafe(F.col("_key")))
+    sums = met.select("_key", *[F.sum(c).over(run).alias(f"_sum_{c}") for c in limits], F.count(F.lit(1)).over(run).alias("_row"))
+    last = sums.groupBy(F.col("_key").alias("_open")).agg(*[F.max_by(f"_sum_{c}", "_row").alias(f"_sum_{c}") for c in limits])
+    out = means.join(last, F.col("_key").eqNullSafe(F.col("_open")), "left")
+    return out.select(F.col("_key").alias(key), *[F.coalesce(F.try_divide(f"_sum_{c}", F.col(f"_n_{c}").cast("double")), F.col(c)).alias(c) for c in limits])
+
+
 def classify_effects(rows: DataFrame, p: str = "p", delta: str = "delta", tests: int = 6, small: float = 0.5) -> DataFrame:
     """survives (p under 0.05 / tests), negligible (it does, but the effect is small) or not_significant."""
     sure = F.col(p) < 0.05 / tests

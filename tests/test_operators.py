@@ -383,3 +383,26 @@ def test_components_of_few_links(spark, monkeypatch):
             spark.conf.set(k, v)
     monkeypatch.setattr(graph, "FEW_LINKS", 0)
     assert sorted(map(tuple, graph.components(links).collect())) == few
+
+
+def test_effects_on_a_limit(spark, tmp_path):
+    """Means that lie on a limit to within rounding: sums go row by row, as in the SQL with one thread, in however many parts the
+    table is read."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pairloom.plans import study
+
+    n, draw = 40 * 300, np.random.default_rng(3)
+    cents = np.stack([draw.permutation(np.repeat([3, 4, 5, 6, 7], 60)) for _ in range(40)], axis=1).ravel()  # of each supplier's 300 rows the mean is 0.05
+    lines = pa.table({"l_suppkey": np.arange(n) % 40, "l_discount": cents / 100, "l_tax": (cents - 1) / 100})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(8):
+        pq.write_table(lines.slice(i * n // 8, n // 8), tmp_path / f"lineitem.parquet/part-{i}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.sql(study.ORACLES["agg_effects"]).fetchall())
+    assert len({x[1] for x in want}) > 1
+    assert sorted(map(tuple, study.QUERIES["agg_effects"](spark, str(tmp_path)).collect())) == want
